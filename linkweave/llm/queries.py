@@ -20,6 +20,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"), end_id=1)
 
 
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bpe import encode_decode
+
+    return encode_decode(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive
+
+    return archive(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -32,9 +44,27 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op9_simhash": op9_simhash, "op10_topk": op10_topk, "op5_token_files": op5_token_files, "op6_packing": op6_packing}
+QUERIES = {
+    "op5_token_files": op5_token_files,
+    "op6_packing": op6_packing,
+    "op7_bpe": op7_bpe,
+    "op8_warc": op8_warc,
+    "op9_simhash": op9_simhash,
+    "op10_topk": op10_topk,
+}
 
 ORACLES: dict[str, str] = {
+    "op8_warc": """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
+), m AS (SELECT body, min(page_id) AS first FROM p GROUP BY body)
+SELECT p.page_id, CAST(octet_length(encode(p.body)) AS BIGINT) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST('0x' || substr(p.h, CAST(5 * (i // 4) + 1 AS INTEGER), 5) AS BIGINT) // [32768, 1024, 32, 1][CAST(i % 4 + 1 AS INTEGER)]) % 32 + 1 AS INTEGER), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN p.page_id = m.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN p.page_id <> m.first THEN m.first END AS refers_to
+FROM p JOIN m ON p.body = m.body
+""",
     "op10_topk": """
 WITH rows AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
