@@ -8,6 +8,12 @@ from .common import table
 from .encoding import vocabulary_path
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality
+
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import tokenize_to_files
 
@@ -45,6 +51,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
