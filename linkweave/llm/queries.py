@@ -8,6 +8,12 @@ from .common import table
 from .encoding import vocabulary_path
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import quality
 
@@ -51,6 +57,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op3_quality": op3_quality,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
@@ -61,6 +68,34 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_line_dedup": """
+WITH l AS (
+  SELECT doc_id, text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), one AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS j FROM l
+), marked AS (
+  SELECT doc_id, line, j, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS m FROM one
+), cuts AS (
+  SELECT doc_id, line, j,
+    CASE WHEN (m + 65599 * coalesce(lag(m) OVER (PARTITION BY doc_id ORDER BY j), 0)) % 4294967291 % 3 = 0 THEN 1 ELSE 0 END AS cut
+  FROM marked
+), numbered AS (
+  SELECT doc_id, line, j, coalesce(sum(cut) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+  FROM cuts
+), chunks AS (
+  SELECT doc_id, c, string_agg(line, chr(10) ORDER BY j) AS body, count(*) AS n_lines,
+    count(*) FILTER (WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')) >= 2 AS ok
+  FROM numbered GROUP BY doc_id, c
+), judged AS (
+  SELECT *, ok AND row_number() OVER (PARTITION BY ok, body ORDER BY doc_id, c) > 1 AS gone FROM chunks
+), made AS (
+  SELECT doc_id, coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (WHERE NOT gone), '') AS left_text, count(*) AS n_chunks,
+    count(*) FILTER (WHERE gone) AS n_cut_chunks, CAST(coalesce(sum(n_lines) FILTER (WHERE gone), 0) AS BIGINT) AS n_cut_lines
+  FROM judged GROUP BY doc_id
+)
+SELECT l.doc_id, CASE WHEN n_cut_chunks = 0 THEN l.text ELSE left_text END AS text, n_chunks, n_cut_chunks, n_cut_lines
+FROM l JOIN made ON l.doc_id = made.doc_id
+""",
     "op8_warc": """
 WITH p AS (
   SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages
