@@ -26,6 +26,12 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentence_spans import substring_dedup
+
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import tokenize_to_files
 
@@ -66,6 +72,7 @@ QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_quality": op3_quality,
+    "op4_sentence_spans": op4_sentence_spans,
     "op5_token_files": op5_token_files,
     "op6_packing": op6_packing,
     "op7_bpe": op7_bpe,
