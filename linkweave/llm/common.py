@@ -94,3 +94,11 @@ def publish(uri: str, write) -> None:
     with files.open_output_stream(part) as out:
         write(out)
     files.move(part, path)
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, or name with underscores where columns has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

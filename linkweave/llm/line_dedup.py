@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name as _free
 from .common import written
 
 WINDOW = 2
@@ -23,12 +24,6 @@ FACTOR, MODULUS, DIVISOR = 65599, 4294967291, 3
 NO_ID = -(1 << 63)
 
 
-def _free(columns: list[str], name: str) -> str:
-    while name.lower() in {c.lower() for c in columns}:
-        name += "_"
-    return name
-
-
 def _chunks(rows: DataFrame, t: str, keep: list[str]) -> DataFrame:
     """rows with an array of chunks: c (number), text, lines, ok (takes part)."""
     lines, marks, ends = "lw_lines", "lw_marks", "lw_ends"

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name as _free
 from .common import written
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -138,12 +139,6 @@ def consistency(p: float, df: int) -> float:
 LIMIT = chi2_quantile(1 - TAIL, DIMS)
 
 
-def _free(columns: list[str], name: str) -> str:
-    while name in columns:
-        name += "_"
-    return name
-
-
 def with_statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, str]:
     """docs with one more column: a struct of the counts and the vector; and its name."""
     name = _free(docs.columns, "quality_stats")

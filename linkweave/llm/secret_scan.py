@@ -21,8 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name as _free
 from .common import written
-from .line_dedup import _free
 
 #: Fixed patterns. ASSIGN matches first and is then kept or dropped by the length of its group 2;
 #: the other two have their least lengths in the pattern, which finds the same spans.

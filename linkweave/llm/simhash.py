@@ -18,10 +18,11 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, text_of, written
+from .common import free_name as _free
+from .common import text_of, written
 
 SEED = 42
 RADIUS = 3
@@ -51,14 +52,15 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """i, fp (as a signed long) of every row."""
+    """i, h (the text's hash), fp (as a signed long) of every row."""
 
     def run(batches):
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["i", "fp"])
+            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], ["i", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t")).mapInArrow(run, "i long, fp long")
+    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.xxhash64(text_of(text_col)).alias("h"), text_of(text_col).alias("t"))
+    return rows.mapInArrow(run, "i long, h long, fp long")
 
 
 def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple[int, int]]:
@@ -133,12 +135,30 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (the component's smallest id) of every row."""
+def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """Tables of the members (i, h, fp) and of the classes (fp, label, component_id)."""
     members = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     distinct = written(members.groupBy("fp").agg(F.min("i").alias("first")), "distinct")
     found = components(links(distinct.select("fp"), radius))
     named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
     smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = written(named.join(smallest, "label").select("fp", "component_id"), "classes")
-    return members.join(classes, "fp").select(F.col("i").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return members, written(named.join(smallest, "label").select("fp", "label", "component_id"), "classes")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (the component's smallest id) of every row."""
+    members, known = classes(docs, id_col, text_col, shingle, radius)
+    return members.join(known, "fp").select(F.col("i").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id, then text hash. Columns as they were."""
+    members, known = classes(docs, id_col, text_col, shingle, radius)
+    order = F.struct(F.col("i").isNull().alias("n"), F.coalesce("i", F.lit(0)).alias("j"), "h")
+    stays = members.join(known, "fp").groupBy("label").agg(F.min(order).alias("s")).select("s.n", "s.j", "s.h")
+    stays = written(stays, "stays")
+    n, j, h, r = (_free(docs.columns, f"lw_{x}") for x in "njhr")
+    keyed = docs.withColumns({n: F.col(id_col).isNull(), j: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), h: F.xxhash64(text_of(text_col))})
+    kept = keyed.join(stays.toDF(n, j, h), [n, j, h], "left_semi")
+    # rows that repeat id and text: one of them
+    return kept.withColumn(r, F.row_number().over(Window.partitionBy(n, j, h).orderBy(n))).where(F.col(r) == 1).select(*docs.columns)
