@@ -7,12 +7,14 @@ Enrich records once (see operators.records), not pairs.
 
 from __future__ import annotations
 
-import re
 import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+
+from .brahmic import romanise
 
 # Legal forms dropped from names.
 LEGAL_FORMS = (
@@ -33,56 +35,26 @@ GENERIC_WORDS = (
 DOMAIN_ENDINGS = ".co.in .com.au .co.uk .com .org .net .in .io .co .biz .info .us .tv .cc .fr .de .eu .online .tech .store .site .group .global .cloud".split()
 # Romanised corporate words.
 ROMANISED_FORMS = "praaivet praivet limitted limited intrpraaijhis enterprises kampanee company".split()
-# Latin sounds by offset in a Brahmic block.
-BRAHMIC = {
-    0x02: "n", 0x03: "h",
-    0x05: "a", 0x06: "aa", 0x07: "i", 0x08: "ee", 0x09: "u", 0x0A: "oo", 0x0B: "ri", 0x0E: "e", 0x0F: "ai", 0x10: "ai", 0x12: "o", 0x13: "au", 0x14: "au",
-    0x15: "k", 0x16: "kh", 0x17: "g", 0x18: "gh", 0x19: "ng", 0x1A: "c", 0x1B: "ch", 0x1C: "j", 0x1D: "jh", 0x1E: "ny",
-    0x1F: "t", 0x20: "th", 0x21: "d", 0x22: "dh", 0x23: "n", 0x24: "t", 0x25: "th", 0x26: "d", 0x27: "dh", 0x28: "n", 0x29: "nn",
-    0x2A: "p", 0x2B: "ph", 0x2C: "b", 0x2D: "bh", 0x2E: "m", 0x2F: "y", 0x30: "r", 0x31: "rr", 0x32: "l", 0x33: "l", 0x34: "ll", 0x35: "v",
-    0x36: "sh", 0x37: "sh", 0x38: "s", 0x39: "h",
-    0x3E: "a", 0x3F: "i", 0x40: "ee", 0x41: "u", 0x42: "oo", 0x46: "e", 0x47: "e", 0x48: "ai", 0x4A: "o", 0x4B: "o", 0x4C: "au", 0x4D: "",
-}
-INDIC_FIRST, INDIC_LAST = 0x0900, 0x0D7F
 #: Word boundaries as Python sees them: letters, digits and underscore of any script.
 _NOT_AFTER, _NOT_BEFORE = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def strip_accents(s: pd.Series) -> pd.Series:
     """NFKD without combining marks."""
     bare = lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
     return s.map(lambda x: x if x is None or x.isascii() else bare(x))
 
 
-def _romanise(text: str) -> str:
-    out = []
-    for c, after in zip(text, [*text[1:], ""]):
-        code = ord(c)
-        if not INDIC_FIRST <= code <= INDIC_LAST:
-            out.append(c)
-            continue
-        offset = code % 0x80
-        if offset not in BRAHMIC:
-            out.append(c)
-            continue
-        out.append(BRAHMIC[offset])
-        if 0x15 <= offset <= 0x39:
-            sign = ord(after) % 0x80 if after and INDIC_FIRST <= ord(after) <= INDIC_LAST else -1
-            if not (0x3E <= sign <= 0x4D or sign in (0x02, 0x03)):
-                out.append("a")  # the inherent vowel
-    return " ".join(re.sub(r"[^\w\s]", " ", "".join(out).lower()).split())
-
-
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def romanised(s: pd.Series) -> pd.Series:
     """Brahmic scripts in Latin letters; other characters stay, punctuation goes."""
-    return s.map(lambda x: x if x is None else _romanise(x))
+    return s.map(lambda x: x if x is None else romanise(x))
 
 
 def _text(c: Column | str) -> Column:

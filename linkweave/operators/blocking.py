@@ -37,8 +37,7 @@ def _one(expression: str) -> str:
 
 
 _BOUNDARY = "CASE WHEN length(compact) < {n} THEN compact ELSE concat(left(compact, {n}), '::', right(compact, {n})) END"
-_FIRST_LONG = "element_at(filter(name_tokens, x -> length(x) >= 3), 1)"
-_LAST_ADDRESS = "element_at(address_tokens, -1)"
+_FIRST_LONG = "get(filter(name_tokens, x -> length(x) >= 3), 0)"
 
 
 def exact_name(cap: int | None = 1000, strip_legal: bool = True, with_country: bool = False) -> Block:
@@ -93,7 +92,7 @@ def informative_number(cap: int | None = 250) -> Block:
 
 def cross_script() -> list[Block]:
     """Indic addresses, and romanised name prefixes against Latin signatures."""
-    place = "coalesce(element_at(postals, 1), CASE WHEN size(address_tokens) > 0 THEN element_at(address_tokens, -1) END, 'addr')"
+    place = "coalesce(get(postals, 0), try_element_at(address_tokens, -1), 'addr')"
     address = f"transform(array_distinct(plots), p -> concat('IN::', {place}, '::', p))"
     return [
         Block("indic_address", f"CASE WHEN upper(country) IN ('IN', 'INDIA') THEN {address} ELSE array() END", f"CASE WHEN is_indic THEN {address} ELSE array() END"),
@@ -110,7 +109,7 @@ def leetspeak_block() -> Block:
 
 
 def alias_block() -> Block:
-    place = "coalesce(element_at(postals, 1), CASE WHEN size(address_tokens) > 0 THEN element_at(address_tokens, -1) END)"
+    place = "coalesce(get(postals, 0), try_element_at(address_tokens, -1))"
     return Block("alias", f"CASE WHEN {place} IS NOT NULL THEN transform(array_distinct(filter(plots, p -> length(p) >= 2)), p -> concat(upper(country), '::', {place}, '::', p)) ELSE array() END")
 
 

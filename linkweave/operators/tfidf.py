@@ -28,12 +28,17 @@ def retrieval_text() -> Column:
     return F.concat_ws(" ", "name", "address")
 
 
+def _run_of(n: int):
+    return lambda i: F.array_join(F.slice("w", i, n), " ")
+
+
 def document_terms(docs: DataFrame, text: Column, ngrams: tuple[int, int] = (1, 2), id_col: str = "entity_id") -> DataFrame:
     """id, term, tf."""
     words = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("w"))
     grams = []
     for n in range(ngrams[0], ngrams[1] + 1):
-        grams.append(F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1))), lambda i, n=n: F.array_join(F.slice("w", i, n), " "))).otherwise(F.array().cast("array<string>")))
+        starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (n - 1), F.lit(1)))
+        grams.append(F.when(F.size("w") >= n, F.transform(starts, _run_of(n))).otherwise(F.array().cast("array<string>")))
     return words.select("id", F.explode(F.concat(*grams)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
 
 

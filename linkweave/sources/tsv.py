@@ -72,7 +72,7 @@ def stream_source(spark: SparkSession, folder: str, files_at_once: int = 1) -> D
 def parsed_matches(matches: Column, strict: bool = True) -> Column:
     """A comma list as an array; strict: fails on empty, foreign and repeated entries."""
     text = F.trim(F.coalesce(matches, F.lit("")))
-    items = F.transform(F.split(text, ","), F.trim)
+    items = F.transform(F.split(text, ","), lambda x: F.trim(x))
     if strict:
         bad = (
             F.when(F.exists(items, lambda x: x == ""), "empty entry")
