@@ -65,9 +65,9 @@ def entity_scores(spine: DataFrame, links: DataFrame, preds: DataFrame, beta2: f
 
 def require_unique(preds: DataFrame) -> DataFrame:
     """preds; an action fails where an entity names a target twice."""
-    w = Window.partitionBy("s1_id", "target_id")
-    n = F.count("*").over(w)
-    return preds.withColumn("n", F.when(n > 1, F.raise_error(F.concat(F.lit("duplicate prediction of "), "s1_id"))).otherwise(n)).drop("n")
+    n = F.count("*").over(Window.partitionBy("s1_id", "target_id"))
+    wrong = F.raise_error(F.concat(F.lit("duplicate prediction of "), "s1_id")).cast("boolean")
+    return preds.withColumn("n", n).where(F.when(F.col("n") > 1, wrong).otherwise(True)).drop("n")
 
 
 def macro(scores: DataFrame) -> DataFrame:
