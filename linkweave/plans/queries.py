@@ -350,6 +350,13 @@ def f1_43_pair_features(x):
     return rows.select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in features.FEATURES])
 
 
+@query
+def f1_pair_features(x):
+    """The features another engine can check: all but the edit similarity, which it counts in bytes."""
+    rows = x.feats
+    return rows.select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in features.FEATURES if c != "name_edit_similarity"])
+
+
 @query
 def f_matrix_sanitized(x):
     rows = features.sanitized(x.feats)
