@@ -380,6 +380,45 @@ def x2_logistic_matcher(x):
     return models.LogisticMatcher(rounds=20).fit(train, features.FEATURES[:20])(x.feats).select("s1_id", "target_id", F.round("score", 4).alias("score"))
 
 
+def _training(x: Linkage) -> DataFrame:
+    return sampling.label(x.feats, x.links).withColumn("label", F.col("label").cast("double"))
+
+
+@query
+def x3_boosted_matcher(x):
+    model = models.BoostedMatcher(depth=4, trees=5).fit(_training(x), features.FEATURES[:20])
+    return model(x.feats).select("s1_id", "target_id", F.round("score", 4).alias("score"))
+
+
+@query
+def x4_pairwise_ranker(x):
+    model = models.PairwiseRanker().fit(_training(x), features.FEATURES[:20])
+    return model(x.feats).select("s1_id", "target_id", F.round("score", 4).alias("score"))
+
+
+@query
+def x5_calibration(x):
+    train = sampling.label(x.scored, x.links)
+    rows = None
+    for method in ("none", "platt", "isotonic"):
+        got = models.calibrate(train, method)(x.scored).select("s1_id", "target_id", F.lit(method).alias("method"), F.round("score", 4).alias("score"))
+        rows = got if rows is None else rows.unionByName(got)
+    return rows
+
+
+@query
+def x8_ablation(x):
+    """Average precision of the logistic matcher on growing feature groups."""
+    groups = {g: names.split() for g, names in features.GROUPS.items() if g in ("name", "address", "country")}
+    train = _training(x).cache()
+    measure = lambda scored: metrics.pair_quality(sampling.label(scored.select("s1_id", "target_id", "score"), x.links)).select("average_precision")
+    rows = None
+    for group, got in models.ablation(train, x.feats, groups, models.LogisticMatcher(rounds=10), measure).items():
+        got = got.withColumn("upto", F.lit(group))
+        rows = got if rows is None else rows.union(got)
+    return rows
+
+
 @query
 def x6_sigmoid(x):
     return x.scored.select("s1_id", "target_id", F.round(models.sigmoid(F.col("score") * 4 - 2), 6).alias("score"))
