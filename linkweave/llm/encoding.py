@@ -14,6 +14,7 @@ from array import array
 
 _UNITS = re.compile(r"(?<=\S) (?=\S)")
 _SAFE = re.compile(r"[\n\t\r\x20-\x7e\xa1-ɏ]*\Z")
+_ODD_ASCII = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
 CACHE_UNITS = 600_000
 
 
@@ -54,24 +55,29 @@ class ByteEncoder:
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _unit(self, unit: str) -> bytes:
-        if not _SAFE.match(unit):
-            out = self.library(unit)
+    def _piece(self, piece: str) -> bytes:
+        ids = self.known.get(piece)
+        if ids is None:
+            if len(self.known) >= self.cache_units:
+                self.known.clear()
+            mapped = piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.known[piece] = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+        return ids
+
+    def _unit(self, word: str) -> bytes:
+        """ids of a word with the space before it."""
+        if not _SAFE.match(word):
+            out = self.library(" " + word)
+        elif word.isalpha():
+            out = self._piece(" " + word)
+        elif word[-1] in ".," and word[:-1].isalpha():
+            out = self._piece(" " + word[:-1]) + self._piece(word[-1])
         else:
-            known, found = self.known, []
-            for piece in self.pieces(unit):
-                ids = known.get(piece)
-                if ids is None:
-                    if len(known) >= self.cache_units:
-                        known.clear()
-                    mapped = piece.encode().decode("latin-1").translate(self.letters)
-                    ids = known[piece] = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
-                found.append(ids)
-            out = b"".join(found)
-        if len(unit) <= 64:
+            out = b"".join(map(self._piece, self.pieces(" " + word)))
+        if len(word) <= 64:
             if len(self.units) >= self.cache_units:
                 self.units.clear()
-            self.units[unit] = out
+            self.units[word] = out
         return out
 
     def ids(self, text: str) -> bytes:
@@ -79,13 +85,16 @@ class ByteEncoder:
             return b""
         if any(s in text for s in self.special):
             return self.library(text)
-        first, *rest = _UNITS.split(text)
-        get, make = self.units.get, self._unit
-        out = [get(first) or make(first)]
-        for word in rest:
-            unit = " " + word
-            out.append(get(unit) or make(unit))
-        return b"".join(out)
+        if text.isascii() and not any(x in text for x in _ODD_ASCII) and text[0] != " " != text[-1]:
+            first, *rest = text.split(" ")  # as the pattern would
+        else:
+            first, *rest = _UNITS.split(text)
+        out = list(map(self.units.get, rest))
+        if None in out:
+            make = self._unit
+            out = [x if x is not None else make(w) for x, w in zip(out, rest)]
+        head = b"".join(map(self._piece, self.pieces(first))) if _SAFE.match(first) else self.library(first)
+        return head + b"".join(out)
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
