@@ -18,17 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir where the cluster names one,
-    else (tests, one machine) a temporary folder of this driver."""
-    found = spark.conf.get(_SETTING, None)
+    """The folder all executors share: spark.checkpoint.dir where the session names one. Where it
+    doesn't, one machine (tests) gets a temporary folder; a cluster gets an error."""
+    found = spark.conf.get(_SETTING, None) or getattr(spark, "_linkweave_dir", None)
     if not found:
-        found = getattr(spark, "_linkweave_dir", None)
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="linkweave-")
-            spark._linkweave_dir = found
-            spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(found)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
+        found = spark._linkweave_dir = "file://" + tempfile.mkdtemp(prefix="linkweave-")
+        atexit.register(_drop, spark, found)
     return found.rstrip("/")
 
 
@@ -55,19 +52,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """checkpoint() in the shared folder; for small iterative state."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def input_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Size of the files that df reads, 0 where it reads none."""
-    total, hadoop = 0, spark.sparkContext._jsc.hadoopConfiguration()
-    for f in df.inputFiles():
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f)
-        total += p.getFileSystem(hadoop).getFileStatus(p).getLen()
-    return total
+def input_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of df's size, from its files' sizes; 0 where it knows none."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return size if size < 1 << 60 else 0
 
 
 def text_of(name: str):

@@ -16,7 +16,6 @@ empty; ids may be null; repeated rows each get a row. Empty input gives no rows.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

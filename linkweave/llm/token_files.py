@@ -150,7 +150,7 @@ class Shard:
 
 
 def shard_count(spark: SparkSession, docs: DataFrame) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(spark, docs) // SHARD_BYTES))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(docs) // SHARD_BYTES))
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: int,
