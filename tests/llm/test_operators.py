@@ -290,6 +290,16 @@ def test_packing(docs, empty, library, monkeypatch):
     assert packing.pack(empty, vocabulary_path(BYTE)).count() == 0
 
 
+def test_packing_to_given_proportions(docs, library):
+    got = packing.pack(docs, vocabulary_path(BYTE), proportions={"s0": 3.0, "s1": 1.0}).collect()
+    assert sum(p.length for p in got) == sum(len(library[BYTE].encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts())
+    first: dict = {}
+    for p in got:
+        if p.sequence_id == min(q.sequence_id for q in got):
+            first[p.source] = first.get(p.source, 0) + p.length
+    assert first.get("s0", 0) > first.get("s1", 0)
+
+
 def test_drr_keeps_proportions():
     queues = {"a": 60_000, "b": 30_000, "c": 10_000}
     share = {"a": 0.6, "b": 0.3, "c": 0.1}
