@@ -84,6 +84,12 @@ def publish(uri: str, write) -> None:
     files.move(part, path)
 
 
+def numbered(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns called c0, c1, ..., and what the named ones are called there: within an
+    operator no column of the input can then clash with its own. toDF(*docs.columns) undoes it."""
+    return docs.toDF(*[f"c{k}" for k in range(len(docs.columns))]), [f"c{docs.columns.index(n)}" for n in names]
+
+
 def free_name(columns: list[str], name: str) -> str:
     """name, or name with underscores where columns has it."""
     taken = {c.lower() for c in columns}

@@ -16,8 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name as _free
-from .common import written
+from .common import numbered, written
 
 WINDOW = 2
 FACTOR, MODULUS, DIVISOR = 65599, 4294967291, 3
@@ -62,7 +61,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def _applied(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
     """docs with the chunk numbers to cut, null where nothing is; that column's name."""
-    i, h, cut = (_free(docs.columns, n) for n in ("lw_i", "lw_h", "lw_cut"))
+    i, h, cut = "lw_i", "lw_h", "lw_cut"
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.withColumns({i: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), h: F.xxhash64(text)})
     lost = repeats(docs, id_col, text_col).toDF(i, h, cut)
@@ -76,10 +75,11 @@ def _kept_text(chunks: str, cut: str) -> str:
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated chunks cut out of the texts; columns as they were."""
-    rows, cut = _applied(docs, id_col, text_col)
-    rows = _chunks(rows, text_col, [*docs.columns, cut])
-    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(F.expr(_kept_text("lw_chunks", cut)))
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    plain, (i, t) = numbered(docs, id_col, text_col)
+    rows, cut = _applied(plain, i, t)
+    rows = _chunks(rows, t, [*plain.columns, cut])
+    text = F.when(F.col(cut).isNull(), F.col(t)).otherwise(F.expr(_kept_text("lw_chunks", cut)))
+    return rows.select(*[text.alias(c) if c == t else F.col(c) for c in plain.columns]).toDF(*docs.columns)
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

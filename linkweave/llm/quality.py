@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name as _free
-from .common import written
+from .common import numbered, written
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -240,11 +240,11 @@ def base_failed(c) -> Column:
     return (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEATED * c("n_words"))
 
 
-def _judge(rows: DataFrame, stats: str) -> tuple[DataFrame, str]:
+def _judge(rows: DataFrame, stats: str, lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, str]:
     """rows (with lang, source and the statistics' struct) with a verdict: base_failed, distance, kept."""
     rows = written(rows, "quality")
     c = lambda n: F.col(stats)[n]
-    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
+    lang, source = F.col(lang_col).cast("string"), F.col(source_col).cast("string")
     params = estimates(rows.where(~base_failed(c)).select(lang.alias("lang"), source.alias("source"), c("x").alias("x")))
     one, verdict = _free(rows.columns, "quality_group"), _free(rows.columns, "quality_verdict")
     p = params.select(F.struct("lang", "source", "centre", "inverse").alias(one))
@@ -264,8 +264,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", **cols) -> DataFrame:
     return found.select("doc_id", *[F.col(stats)[n].alias(n) for n in COUNTS], F.col(verdict)["base_failed"].alias("base_failed"), F.col(verdict)["kept"].alias("kept"), F.round(F.col(verdict)["distance"], 6).alias("distance"))
 
 
-def filtered(docs: DataFrame) -> DataFrame:
+def filtered(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """The rows of docs that are kept, with docs' columns."""
-    rows, stats = with_statistics(docs)
-    found, verdict = _judge(rows, stats)
-    return found.where(F.col(verdict)["kept"]).select(*docs.columns)
+    plain, (t, lang, source) = numbered(docs, text_col, lang_col, source_col)
+    rows, stats = with_statistics(plain, t)
+    found, verdict = _judge(rows, stats, lang, source)
+    return found.where(F.col(verdict)["kept"]).select(*plain.columns).toDF(*docs.columns)

@@ -20,8 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name as _free
-from .common import written
+from .common import numbered, written
 
 #: Fixed patterns. ASSIGN matches first and is then kept or dropped by the length of its group 2;
 #: the other two have their least lengths in the pattern, which finds the same spans.
@@ -114,7 +113,7 @@ def _p_value(token: str) -> str:
 
 def scanned(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """rows[keep] with base spans (array of s, kind, e) and tokens (array of s, e, enc, n, p)."""
-    names = [_free([*keep, text], f"lw_found{k}") for k in range(4)]
+    names = [f"lw_found{k}" for k in range(4)]
     rows = rows.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("lw_t"))
     for k, pattern in enumerate((ASSIGN, ACCESS, HEX, TOKEN)):
         rows = _matches(rows, "lw_t", pattern, names[k], [*keep, "lw_t", *names[:k]])
@@ -171,14 +170,15 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def redacted(docs: DataFrame, text_col: str = "text", mark: str = "[secret]", fdr: float = FDR) -> DataFrame:
     """docs with every span (overlapping ones as one) replaced by mark; columns as they were."""
-    found = written(scanned(docs, text_col, docs.columns), "secrets")
-    rows = found.select(*docs.columns, _spans(thresholds(found, fdr)).alias("lw_all"))
+    plain, (t,) = numbered(docs, text_col)
+    found = written(scanned(plain, t, plain.columns), "secrets")
+    rows = found.select(*plain.columns, _spans(thresholds(found, fdr)).alias("lw_all"))
     # ends of what is covered so far, then the gaps between
     merged = """aggregate(lw_all, array(named_struct('s', 0, 'e', 0)), (acc, x) ->
       CASE WHEN x.s < element_at(acc, -1).e
            THEN concat(slice(acc, 1, size(acc) - 1), array(named_struct('s', element_at(acc, -1).s, 'e', greatest(x.e, element_at(acc, -1).e))))
            ELSE concat(acc, array(named_struct('s', x.s, 'e', x.e))) END)"""
-    rows = rows.select(*docs.columns, F.when(F.size("lw_all") > 0, F.expr(merged)).alias("lw_merged"))
-    kept = F.expr(f"array_join(transform(lw_merged, (x, k) -> substring(`{text_col}`, x.e + 1, coalesce(get(lw_merged, k + 1).s, length(`{text_col}`)) - x.e)), '{_quoted(mark)}')")
-    text = F.when(F.col("lw_merged").isNull(), F.col(text_col)).otherwise(kept)
-    return rows.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    rows = rows.select(*plain.columns, F.when(F.size("lw_all") > 0, F.expr(merged)).alias("lw_merged"))
+    kept = F.expr(f"array_join(transform(lw_merged, (x, k) -> substring({t}, x.e + 1, coalesce(get(lw_merged, k + 1).s, length({t})) - x.e)), '{_quoted(mark)}')")
+    text = F.when(F.col("lw_merged").isNull(), F.col(t)).otherwise(kept)
+    return rows.select(*[text.alias(c) if c == t else F.col(c) for c in plain.columns]).toDF(*docs.columns)

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import free_name as _free
-from .common import text_of, written
+from .common import numbered, text_of, written
 
 SEED = 42
 RADIUS = 3
@@ -157,8 +156,9 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = F.struct(F.col("i").isNull().alias("n"), F.coalesce("i", F.lit(0)).alias("j"), "h")
     stays = members.join(known, "fp").groupBy("label").agg(F.min(order).alias("s")).select("s.n", "s.j", "s.h")
     stays = written(stays, "stays")
-    n, j, h, r = (_free(docs.columns, f"lw_{x}") for x in "njhr")
-    keyed = docs.withColumns({n: F.col(id_col).isNull(), j: F.coalesce(F.col(id_col).cast("long"), F.lit(0)), h: F.xxhash64(text_of(text_col))})
+    n, j, h, r = (f"lw_{x}" for x in "njhr")
+    plain, (i, t) = numbered(docs, id_col, text_col)
+    keyed = plain.withColumns({n: F.col(i).isNull(), j: F.coalesce(F.col(i).cast("long"), F.lit(0)), h: F.xxhash64(text_of(t))})
     kept = keyed.join(stays.toDF(n, j, h), [n, j, h], "left_semi")
     # rows that repeat id and text: one of them
-    return kept.withColumn(r, F.row_number().over(Window.partitionBy(n, j, h).orderBy(n))).where(F.col(r) == 1).select(*docs.columns)
+    return kept.withColumn(r, F.row_number().over(Window.partitionBy(n, j, h).orderBy(n))).where(F.col(r) == 1).select(*plain.columns).toDF(*docs.columns)

@@ -13,7 +13,7 @@ from linkweave.llm import bpe, encoding, line_dedup, packing, quality, secret_sc
 from linkweave.llm.encoding import vocabulary_path
 
 BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, i int, h string, fp int, n string, lw_i int, quality_stats int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, i int, h string, fp int, n string, lw_h int, quality_stats int"
 _W = "the cat sat on a mat while rain fell over quiet hills and boats drifted slowly past old stone bridges near town".split()
 
 
@@ -54,6 +54,17 @@ def key(r):
     return repr(r)
 
 
+def test_no_column_clashes(spark):
+    """Names that the operators use inside, outside, or for their results."""
+    own = "lw_t lw_i lw_h lw_cut lw_chunks lw_lines lw_all lw_base lw_found0 sm_m c0 c1 lw_n lw_r quality_stats quality_verdict fingerprint component_id spans kept".split()
+    data = [(k, prose(k % 4, 50) + " token = abcdefGHIJK12345", "en", "s", *range(len(own))) for k in range(8)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} long" for n in own))
+    for stage in (quality.filtered, line_dedup.deduplicated, simhash.deduplicated, secret_scan.redacted):
+        out = stage(df)
+        assert out.columns == df.columns
+        assert all(tuple(r)[4:] == tuple(range(len(own))) for r in out.collect()), stage
+
+
 # 1 line dedup
 def chunk_lists(text):
     lines = (text or "").split("\n")
