@@ -155,6 +155,11 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     members, known = classes(docs, id_col, text_col, shingle, radius)
     order = F.struct(F.col("i").isNull().alias("n"), F.coalesce("i", F.lit(0)).alias("j"), "h")
     stays = members.join(known, "fp").groupBy("label").agg(F.min(order).alias("s")).select("s.n", "s.j", "s.h")
+    return only(docs, stays, id_col, text_col)
+
+
+def only(docs: DataFrame, stays: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of docs at the places stays (null id or not, id, text hash), one for each. Columns as they were."""
     stays = written(stays, "stays")
     n, j, h, r = (f"lw_{x}" for x in "njhr")
     plain, (i, t) = numbered(docs, id_col, text_col)
