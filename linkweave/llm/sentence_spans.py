@@ -1,9 +1,12 @@
 """Op 4: repeated runs of sentences, removed wherever they are not the first.
 
-Texts are cut into sentences (terminator and white space, or line feeds; sentences over LONG words
-also at commas, colons and semicolons). From every sentence starts a run of at least RUN sentences
-that goes on until it has MIN_WORDS words, and one such run leads up to every line's end; the run's hash (128 bits of its words, white space aside)
-is counted over the corpus. Of each repeated run the first by (document id, text hash, place) stays; sentences
+Texts are cut into sentences (terminator and white space, or line feeds) and these further before the
+word with the least hash of any WINDOW words in a row, so a cut depends on the words next to it only
+and no piece is over WINDOW words. From every piece starts a run of at least RUN pieces
+that goes on until it has MIN_WORDS words, and one such run leads up to every sentence's end; the run's hash (128 bits of its words, white space aside)
+is counted over the corpus. A passage that repeats holds a cut in its first WINDOW words, and cuts are
+the same wherever WINDOW words of it are to either side: one of MIN_WORDS + 3 * WINDOW - 2 = 50 words
+or more, however it lies in sentences, holds a whole run. Of each repeated run the first by (document id, text hash, place) stays; sentences
 under any other occurrence are removed. Only hashes and places are shuffled for this; texts move once,
 to meet what is to be removed.
 
@@ -14,6 +17,7 @@ are one document and share their fate. Runs within one document count too. Empty
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -24,23 +28,49 @@ from .common import text_of, written
 
 RUN = 2
 MIN_WORDS = 16
-LONG = 40
+WINDOW = 12
 NO_ID = -(1 << 63)
 _ENDS = re.compile(r"[.!?。！？]+[\"'”’)\]]*\s+|[。！？]+|\n\s*")
-_CLAUSE = re.compile(r"[^,;:]*(?:[,;:]+\s*|\Z)")
+_WORD = re.compile(r"\S+")
 
 
 def sentences(text: str) -> list[str]:
     """Pieces that join to the text again."""
     out = []
     for piece in _split(text):
-        if len(piece) > 2 * LONG and len(piece.split()) > LONG:
-            out += [c for c in _CLAUSE.findall(piece) if c]
+        if len(piece) > 2 * WINDOW and len(piece.split()) > WINDOW:
+            at = 0
+            for cut in _cuts(piece):
+                out.append(piece[at:cut])
+                at = cut
+            out.append(piece[at:])
         else:
             out.append(piece)
     return out
 
 
+def _cuts(sentence: str) -> list[int]:
+    """Where words start that have the least hash of some WINDOW words (the last of equal ones)."""
+    starts, hashes = [], []
+    for m in _WORD.finditer(sentence):
+        starts.append(m.start())
+        hashes.append(crc32(m[0].encode()))
+    out, best = [], -1
+    for end in range(WINDOW, len(hashes) + 1):
+        if best < end - WINDOW:
+            least = min(hashes[end - WINDOW : end])
+            best = end - 1
+            while hashes[best] != least:
+                best -= 1
+        elif hashes[end - 1] <= hashes[best]:
+            best = end - 1
+        else:
+            continue
+        if best:
+            out.append(starts[best])
+    return out
+
+
 def _split(text: str) -> list[str]:
     out, at = [], 0
     for m in _ENDS.finditer(text):
@@ -69,8 +99,8 @@ def runs(pieces: list[str]) -> list[tuple[int, int, int, int]]:
             break
         spans.append((a, last))
     known, a = set(spans), 0
-    for last in range(1, len(real) + 1):  # the shortest run up to the end of a line
-        if last == len(real) or "\n" in pieces[real[last - 1]]:
+    for last in range(1, len(real) + 1):  # the shortest run up to the end of a sentence
+        if last == len(real) or _ENDS.search(pieces[real[last - 1]]):
             while a + 1 < last and upto[last] - upto[a + 1] >= MIN_WORDS and last - a - 1 >= RUN:
                 a += 1
             if upto[last] - upto[a] >= MIN_WORDS and last - a >= RUN and (a, last) not in known:
