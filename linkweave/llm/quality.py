@@ -9,7 +9,8 @@ rows a group. A text is kept if no base rule fails and its Mahalanobis distance
 
 Short texts' ratios are drawn to common values by PRIOR words, and variances have a floor, so that a
 statistic most texts share doesn't turn small differences into outliers. Groups under MIN_ROWS fit
-texts have no estimate and judge nobody. Nulls: a null text has no words (so fails); null language
+texts take the estimate of their language over all sources, and that of all texts where the language
+is under MIN_ROWS too, so every text is judged. Nulls: a null text has no words (so fails); null language
 or source is a group of its own. Repeated rows each count and get equal verdicts. Empty input gives no rows.
 """
 
@@ -167,14 +168,15 @@ def distance(x: Column, centre: Column, inverse: Column) -> Column:
     return total
 
 
-_PARAMS = "lang string, source string, centre array<double>, inverse array<double>"
+_PARAMS = "level int, lang string, source string, centre array<double>, inverse array<double>"
+_KEYS = ("level", "lang", "source")
 
 
-def _estimate(mean: np.ndarray, cov: np.ndarray, lang, source) -> dict:
+def _estimate(mean: np.ndarray, cov: np.ndarray, level, lang, source) -> dict:
     cov = cov + np.diag((np.array(FLOORS) * UNIT) ** 2)
     inverse = np.linalg.inv(cov)
     upper = [float(inverse[i, j]) for i in range(DIMS) for j in range(i, DIMS)]
-    return {"lang": [lang], "source": [source], "centre": [mean.tolist()], "inverse": [upper]}
+    return {"level": [level], "lang": [lang], "source": [source], "centre": [mean.tolist()], "inverse": [upper]}
 
 
 def _concentrate(share: float, by_distance: bool):
@@ -198,42 +200,65 @@ def _concentrate(share: float, by_distance: bool):
                 k += 1
         held = min(taken / n.sum(), 0.9999)
         cov *= consistency(max(held, 0.5), DIMS)
-        made = _estimate(mean, cov, key[0].as_py(), key[1].as_py())
+        made = _estimate(mean, cov, *[k.as_py() for k in key])
         return pa.Table.from_pydict(made, schema=_SCHEMA)
 
     return run
 
 
-_SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("centre", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64()))])
+_SCHEMA = pa.schema([("level", pa.int32()), ("lang", pa.string()), ("source", pa.string()), ("centre", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64()))])
 
 
 def _bin(d: float) -> int:
     return max(0, min(BINS - 1, math.floor(PER_OCTAVE * math.log2(d + 2**-4) + 4 * PER_OCTAVE)))
 
 
-def _joined(rows: DataFrame, params: DataFrame, how: str = "inner") -> DataFrame:
-    p = params.select(F.col("lang").alias("p_lang"), F.col("source").alias("p_source"), "centre", "inverse")
-    return rows.join(p, F.col("lang").eqNullSafe(F.col("p_lang")) & F.col("source").eqNullSafe(F.col("p_source")), how)
+def _same(a: DataFrame, b: DataFrame, keys=_KEYS, how: str = "inner") -> DataFrame:
+    """a joined to b where keys are equal or both null; b's keys go."""
+    b = b.withColumnsRenamed({k: f"p_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"p_{k}")) for k in keys]
+    return a.join(b, on, how).drop(*[f"p_{k}" for k in keys])
+
+
+def _level(k: int) -> Column:
+    """The key of a row's group at level k: 0 language and source, 1 language, 2 all."""
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit(k).alias("level"), (F.col("lang") if k < 2 else none).alias("lang"), (F.col("source") if k < 1 else none).alias("source"))
+
+
+def _levels(fit: DataFrame) -> DataFrame:
+    """lang, source, key: every group with the key of the narrowest group around it that is large enough."""
+    sizes = written(fit.groupBy("lang", "source").agg(F.count("*").alias("n")), "groups")
+    langs = sizes.groupBy("lang").agg(F.sum("n").alias("m"))
+    sizes = _same(sizes, langs, ["lang"])
+    key = F.when(F.col("n") >= MIN_ROWS, _level(0)).when(F.col("m") >= MIN_ROWS, _level(1)).otherwise(_level(2))
+    return written(sizes.select("lang", "source", key.alias("key")), "levels")
 
 
 def estimates(fit: DataFrame) -> DataFrame:
     """lang, source, centre, inverse of every group; fit: lang, source, x. Groups travel as tables:
     the join's own size check decides whether they are broadcast."""
+    levels = _levels(fit)
+    used = written(levels.select("key.*").distinct(), "used")
+    # each row counts in every group around it that has a use
+    wide = fit.select("x", F.explode(F.array(*map(_level, range(3)))).alias("key")).select("key.*", "x")
+    fit = _same(wide, used, how="left_semi")
     q = [F.percentile(F.col("x")[k], F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q{k}") for k in range(DIMS)]
     # fixed-point values: the percentiles hold one count for each distinct value
-    start = fit.groupBy("lang", "source").agg(F.count("*").alias("n"), *q).where(F.col("n") >= MIN_ROWS)
+    start = fit.groupBy(*_KEYS).agg(*q)
     spread = [F.pow((F.col(f"q{k}")[2] - F.col(f"q{k}")[0]) / 1.349, 2) + (FLOORS[k] * UNIT) ** 2 for k in range(DIMS)]
     inverse = [F.lit(1.0) / spread[i] if i == j else F.lit(0.0) for i in range(DIMS) for j in range(i, DIMS)]
-    params = written(start.select("lang", "source", F.array(*[F.col(f"q{k}")[1] for k in range(DIMS)]).alias("centre"), F.array(*inverse).alias("inverse")), "mcd")
+    params = written(start.select(*_KEYS, F.array(*[F.col(f"q{k}")[1] for k in range(DIMS)]).alias("centre"), F.array(*inverse).alias("inverse")), "mcd")
     x = F.col("x")
     for step in range(STEPS + 1):
         at = F.floor(PER_OCTAVE * F.log2(distance(x, F.col("centre"), F.col("inverse")) + 2**-4) + 4 * PER_OCTAVE)
-        binned = _joined(fit, params).select("lang", "source", "x", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at)).cast("int").alias("bin"))
+        binned = _same(fit, params).select(*_KEYS, "x", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), at)).cast("int").alias("bin"))
         s1 = F.array(*[F.sum(x[i]) for i in range(DIMS)]).alias("s1")
         s2 = F.array(*[F.sum(x[i] * x[j]) for i in range(DIMS) for j in range(i, DIMS)]).alias("s2")
-        moments = binned.groupBy("lang", "source", "bin").agg(F.count("*").alias("n"), s1, s2)
-        params = written(moments.groupBy("lang", "source").applyInArrow(_concentrate(COVERAGE, step == STEPS), _PARAMS), "mcd")
-    return params
+        moments = binned.groupBy(*_KEYS, "bin").agg(F.count("*").alias("n"), s1, s2)
+        params = written(moments.groupBy(*_KEYS).applyInArrow(_concentrate(COVERAGE, step == STEPS), _PARAMS), "mcd")
+    groups = levels.select(F.struct("lang", "source").alias("group"), "key.*")
+    return _same(groups, params).select("group.*", "centre", "inverse")
 
 
 def base_failed(c) -> Column:
