@@ -6,6 +6,7 @@ import atexit
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +37,20 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables written within are dropped at the end, but for those written with keep."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _drop(spark, path)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
@@ -45,9 +60,13 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
+def written(df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors. keep: it
+    outlives the scratch scope around it, to the next one out or the driver's end."""
     path = new_folder(df.sparkSession, label)
+    scopes = _SCOPES[:-1] if keep else _SCOPES
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
