@@ -1,21 +1,33 @@
-"""Byte-level BPE of whole texts through the tokenizers library, with a bounded cache of words.
-
-A text is cut at single spaces between two non-space characters. The vocabulary's splitting rule
-keeps such a space with the word behind it and never joins characters across it, so each unit
-encodes alone. A unit seen before comes from the cache; others go to the library's model piece by
-piece. Texts with a special token's string, and units with characters whose class could differ
-between regular-expression engines, go to the library whole.
+"""Byte-level BPE of whole texts through the tokenizers library, with a bounded cache of pieces.
+
+Where spaces and line feeds stand alone between other characters, the vocabulary's splitting rule
+keeps a space with what is behind it, makes a line feed a piece of its own and joins nothing across
+either; a full stop or comma between a letter and either of them is a piece too. So Arrow cuts a batch
+of plain texts there by literal replacement, and its dictionary encoding leaves each distinct unit of
+the batch once; a unit seen before comes from the cache, others go to the library's model piece by
+piece. Other texts go through the rule or the library one by one: those with a special token's string,
+other white space, or characters whose class could differ between regular-expression engines.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from operator import itemgetter
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _UNITS = re.compile(r"(?<=\S) (?=\S)")
-_SAFE = re.compile(r"[\n\t\r\x20-\x7e\xa1-ɏ]*\Z")
-_ODD_ASCII = ("  ", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
-CACHE_UNITS = 600_000
+_LETTERS = "\n\t\r\x20-\x7e\xa1-\u024f"
+_SAFE = re.compile(f"[{_LETTERS}]*\\Z")
+#: White space that doesn't stand alone between two other characters, stops behind other signs, and
+#: characters not known as safe.
+_ODD = rf"^[ \n]|[ \n][ \n]|[ \n]\z|[\t\r]|(?:^|[^\p{{L}}\p{{N}}])[.,][ \n]|[^{_LETTERS}]"
+CACHE_UNITS = 1_000_000  # in two halves: the older one goes when the younger is full
+_MARK = "\x00"
+BATCH_BYTES = 16 << 20
 
 
 def vocabulary_path(name: str) -> str:
@@ -50,51 +62,109 @@ class ByteEncoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.pieces = regex.compile(PATTERN).findall
         self.letters = _byte_letters()
-        self.cache_units, self.units, self.known = cache_units, {}, {}
+        self.space = self.letters[0x20]
+        self.odd = _ODD + "".join("|" + re.sub(r"(\W)", r"\\\1", x) for x in self.special)
+        self.cache_units, self.known, self.older = cache_units, {}, {}
 
     def library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
         ids = self.known.get(piece)
+        return ids if ids is not None else self._new(piece, True)
+
+    def _new(self, unit: str, one: bool) -> bytes:
+        """ids of a unit that isn't in the cache's younger half; one: whether it is a single piece."""
+        ids = self.older.get(unit)
         if ids is None:
-            if len(self.known) >= self.cache_units:
-                self.known.clear()
-            mapped = piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.known[piece] = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+            if one:
+                mapped = unit.encode().decode("latin-1").translate(self.letters)
+                ids = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+            elif not _SAFE.match(unit):
+                ids = self.library(unit)
+            else:
+                ids = b"".join(map(self._piece, self.pieces(unit)))
+        if len(unit) <= 64:
+            if 2 * len(self.known) >= self.cache_units:
+                self.known, self.older = {}, self.known
+            self.known[unit] = ids
         return ids
 
-    def _unit(self, word: str) -> bytes:
-        """ids of a word with the space before it."""
-        if not _SAFE.match(word):
-            out = self.library(" " + word)
-        elif word.isalpha():
-            out = self._piece(" " + word)
-        elif word[-1] in ".," and word[:-1].isalpha():
-            out = self._piece(" " + word[:-1]) + self._piece(word[-1])
-        else:
-            out = b"".join(map(self._piece, self.pieces(" " + word)))
-        if len(word) <= 64:
-            if len(self.units) >= self.cache_units:
-                self.units.clear()
-            self.units[word] = out
+    def _units(self, units: list[str]) -> list[bytes]:
+        """ids of every unit; one of letters only, but for a space before them, is one piece."""
+        out = list(map(self.known.get, units))
+        for k, ids in enumerate(out):
+            if ids is None:
+                unit = units[k]
+                out[k] = self._new(unit, (unit[1:] if unit[:1] == " " else unit).isalpha() and bool(_SAFE.match(unit))) if unit else b""
         return out
 
+    def _unit(self, unit: str) -> bytes:
+        return self._units([unit])[0]
+
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
         if any(s in text for s in self.special):
             return self.library(text)
-        if text.isascii() and not any(x in text for x in _ODD_ASCII) and text[0] != " " != text[-1]:
-            first, *rest = text.split(" ")  # as the pattern would
-        else:
-            first, *rest = _UNITS.split(text)
-        out = list(map(self.units.get, rest))
-        if None in out:
-            make = self._unit
-            out = [x if x is not None else make(w) for x, w in zip(out, rest)]
-        head = b"".join(map(self._piece, self.pieces(first))) if _SAFE.match(first) else self.library(first)
-        return head + b"".join(out)
+        first, *rest = _UNITS.split(text)
+        return self._unit(first) + b"".join(self._unit(" " + x) for x in rest)
+
+    def batch(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The ids of all texts one after another, little-endian unsigned 32-bit integers, and how many
+        each text has. Texts must not be null."""
+        raw, n, at = [], [], 0
+        while at < len(texts):  # long texts in smaller batches
+            size = min(4096, len(texts) - at)
+            while size > 1 and pc.sum(pc.binary_length(texts.slice(at, size))).as_py() > BATCH_BYTES:
+                size //= 2
+            part = texts.slice(at, size)
+            odd = pc.match_substring_regex(part, self.odd).to_numpy(zero_copy_only=False)
+            if odd.any():
+                alone = [self.ids(t) for t in part.filter(pa.array(odd)).to_pylist()]
+                plain, sizes = self._plain(part.filter(pa.array(~odd)))
+                ends, here = iter(sizes.cumsum().tolist()), 0
+                alone, counts = iter(alone), []
+                for o in odd.tolist():
+                    if o:
+                        raw.append(next(alone))
+                        counts.append(len(raw[-1]) // 4)
+                    else:
+                        end = next(ends)
+                        raw.append(plain[4 * here : 4 * end])
+                        counts.append(end - here)
+                        here = end
+                n.append(np.array(counts, np.int64))
+            else:
+                ids, sizes = self._plain(part)
+                raw.append(ids)
+                n.append(sizes)
+            at += size
+        return b"".join(raw), np.concatenate(n) if n else np.zeros(0, np.int64)
+
+    def _plain(self, texts: pa.Array) -> tuple[bytes, np.ndarray]:
+        """Texts without anything odd."""
+        if not len(texts):
+            return b"", np.zeros(0, np.int64)
+        for sign, cut in ((" ", "| "), ("\n", "|\n|"), (".|", "|.|"), (",|", "|,|")):
+            texts = pc.replace_substring(texts, sign.replace("|", _MARK), cut.replace("|", _MARK))
+        units = pc.split_pattern(texts, _MARK)
+        coded, sizes = units.flatten().dictionary_encode(), np.diff(units.offsets.to_numpy())
+        ids = self._units(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        known = coded.indices.to_numpy()
+        upto = np.fromiter(map(len, ids), np.int64, len(ids))[known].cumsum() // 4
+        found = itemgetter(*known.tolist())(ids) if len(known) > 1 else [ids[k] for k in known]
+        return b"".join(found), np.diff(upto[sizes.cumsum() - 1], prepend=0)
+
+
+def with_ends(raw: bytes, sizes: np.ndarray, end_id: int, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """A batch's ids in the given type with end_id behind each text, and where texts end."""
+    ends = (sizes + 1).cumsum()
+    ids = np.full(int(ends[-1]) if len(ends) else 0, end_id, kind)
+    inside = np.ones(len(ids), bool)
+    inside[ends - 1] = False
+    ids[inside] = np.frombuffer(raw, "<u4")
+    return ids, ends
 
 
 _ENCODERS: dict[str, ByteEncoder] = {}
