@@ -19,11 +19,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import filesystem, input_bytes, new_folder, publish, text_of
-from .encoding import byte_encoder
+from .common import filesystem, input_bytes, new_folder, publish, text_of, written
+from .encoding import byte_encoder, with_ends
 
 MAGIC = b"LWTOKENS"
 SAMPLE = 256
@@ -92,13 +92,13 @@ class ShardWriter:
         self.bounds, self.doc_ids, self.nulls = array("q", [0]), array("q"), 0
         out.write(MAGIC)
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.out.write(ids.astype(f"<u{self.width}").tobytes())
-        self.bounds.append(self.bounds[-1] + len(ids))
-        if doc_id is None:
-            self.nulls += 1
-        else:
-            self.doc_ids.append(doc_id)
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, ends: np.ndarray) -> None:
+        """Documents with their ids one after another, and where each one's end."""
+        self.out.write(ids.astype(f"<u{self.width}", copy=False).tobytes())
+        self.bounds.extend((ends + self.bounds[-1]).tolist())
+        known = [i for i in doc_ids if i is not None]
+        self.nulls += len(doc_ids) - len(known)
+        self.doc_ids.extend(known)
 
     def close(self) -> None:
         a = len(MAGIC) + self.bounds[-1] * self.width
@@ -154,11 +154,12 @@ def shard_count(spark: SparkSession, docs: DataFrame) -> int:
 
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, shards: int,
-                 id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int, int]]:
-    """Writes docs in ascending id order; returns (file, documents, tokens) of each shard in order.
+                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes docs in ascending id order; a table of shard (number), file, docs, tokens and base (ids in
+    the shards before it).
 
-    One range shuffle of ids and texts; each partition encodes and writes its shard. What comes to
-    the driver is one row a shard.
+    One range shuffle of ids and texts; each partition encodes and writes its shard under a name of
+    its own, so a second attempt writes the same file again.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("i"), text_of(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     rows = rows.repartitionByRange(shards, F.asc_nulls_first("i"), "h").sortWithinPartitions(F.asc_nulls_first("i"), "h", "t")
@@ -170,37 +171,37 @@ def write_shards(docs: DataFrame, folder: str, vocabulary: str, end_id: int, sha
         head = next(batches, None)
         if head is None:
             return
-        name = f"{folder}/shard-{TaskContext.get().partitionId():06d}.tok"
+        number = TaskContext.get().partitionId()
+        name = f"{folder}/shard-{number:06d}.tok"
         encoder = byte_encoder(vocabulary)
         width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        tail, counts = array("I", [end_id]).tobytes(), []
+        counts = []
 
         def fill(out):
             shard = ShardWriter(out, width)
             batch = head
             while batch is not None:
-                for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    shard.add(i, np.frombuffer(encoder.ids(t.as_py()) + tail, "<u4"))
+                for at in range(0, batch.num_rows, 4096):
+                    part = batch.slice(at, 4096)
+                    shard.add(part.column(0).to_pylist(), *with_ends(*encoder.batch(part.column(1)), end_id, f"<u{width}"))
                 batch = next(batches, None)
             counts.extend((len(shard.bounds) - 1, shard.bounds[-1]))
             shard.close()
 
         publish(name, fill)
-        yield pa.RecordBatch.from_pydict({"file": [name], "docs": [counts[0]], "tokens": [counts[1]]})
+        yield pa.RecordBatch.from_pydict({"shard": pa.array([number], pa.int32()), "file": [name], "docs": [counts[0]], "tokens": [counts[1]]})
 
-    found = rows.select("i", "t").mapInArrow(write, "file string, docs long, tokens long").collect()
-    return sorted((r.file, r.docs, r.tokens) for r in found)
+    found = written(rows.select("i", "t").mapInArrow(write, "shard int, file string, docs long, tokens long"), "shards")
+    # sums before each shard in two steps, so no task sorts more than a thousandth of a long list
+    group = F.floor(F.col("shard") / 1024).alias("g")
+    below = Window.rowsBetween(Window.unboundedPreceding, -1)
+    groups = found.groupBy(group).agg(F.sum("tokens").alias("n")).select("g", F.coalesce(F.sum("n").over(below.orderBy("g")), F.lit(0)).alias("before"))
+    within = F.coalesce(F.sum("tokens").over(below.partitionBy("g").orderBy("shard")), F.lit(0))
+    return found.select("*", group).join(groups, "g").select("shard", "file", "docs", "tokens", (F.col("before") + within).alias("base"))
 
 
-def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]]) -> DataFrame:
+def read_shards(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, read back from the files."""
-    rows, base = [], 0
-    for name, _, tokens in shards:
-        rows.append((name, base))
-        base += tokens
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not rows:
-        return spark.createDataFrame([], schema)
 
     def read(batches):
         for batch in batches:
@@ -215,8 +216,8 @@ def read_shards(spark: SparkSession, shards: list[tuple[str, int, int]]) -> Data
                 if out:
                     yield _batch(out)
 
-    parts = max(1, min(len(rows), 4 * spark.sparkContext.defaultParallelism))
-    return spark.createDataFrame(rows, "file string, base long").repartition(parts).mapInArrow(read, schema)
+    parts = 4 * shards.sparkSession.sparkContext.defaultParallelism
+    return shards.select("file", "base").repartition(parts, "file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -227,4 +228,4 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def tokenize_to_files(docs: DataFrame, vocabulary: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    return read_shards(spark, write_shards(docs, folder, vocabulary, end_id, shard_count(spark, docs)))
+    return read_shards(write_shards(docs, folder, vocabulary, end_id, shard_count(spark, docs)))
