@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-import uuid
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -143,9 +142,13 @@ def write_bundles(pages: DataFrame, folder: str, min_payload: int = 0, id_col: s
     again = rows.where("k IS NOT NULL").groupBy("k").agg(F.min("i").alias("first"), F.count("*").alias("n")).where("n > 1").select("k", "first")
     again = written(again, "repeats")  # few rows: the join's own size check decides how they travel
     rows = rows.join(again, "k", "left").select("i", "u", "p", F.when(~F.col("i").eqNullSafe(F.col("first")), F.col("first")).alias("r"))
+    # in an order of their own, so a second attempt writes the same bundle under the same name
+    rows = rows.sortWithinPartitions("i", "u", "p")
 
     def write(batches):
-        name = f"{folder}/bundle-{uuid.uuid4().hex}.warc.zst"
+        from pyspark import TaskContext
+
+        name = f"{folder}/bundle-{TaskContext.get().partitionId():06d}.warc.zst"
         batches = (b for b in batches if b.num_rows)
         head = next(batches, None)
         if head is None:
