@@ -1,12 +1,15 @@
 """Op 9: SimHash near-duplicates by tiled exact comparison.
 
 A text's fingerprint has a bit where over half of its word shingles' XXH64 values have it. Distinct
-fingerprints are dealt into tiles by the population counts of their four 16-bit quarters (at most
-17^4 cells, a fixed bound), large cells into several tiles. Two fingerprints at d differing bits have
-counts that differ by d at most in sum, so only tile pairs within the radius are compared, all against
-all, with numpy exclusive-or and bit counts. A tile pair reports a spanning forest of its links, never
-all pairs of a group, which keeps the components. Components come from min-label rounds with pointer
-jumping over tables in the shared folder; nothing of the corpus comes to the driver.
+fingerprints are dealt into tiles by the population counts of their four 16-bit quarters, or of their
+eight bytes where there are over MANY of them (17^4 or 9^8 cells at most), large cells into several
+tiles. Two fingerprints at d differing bits have counts that differ by d at most in sum, so only tile
+pairs within the radius are compared, all against all, with numpy exclusive-or and bit counts. Parts
+decide how many tile pairs are skipped, not what is found. A tile pair reports a spanning forest of
+its links, never all pairs of a group, which keeps the components. Components come from min-label
+rounds with pointer jumping over tables in the shared folder; nothing of the corpus comes to the driver.
+
+`deduplicated` with a similarity asks for more than a radius can tell: see near_copies.
 
 Nulls: a null text has no words, so fingerprint zero, linked like any other. A null id is no
 component's name unless all its members' ids are null. Repeated rows are members each. Empty input gives no rows.
@@ -14,20 +17,18 @@ component's name unless all its members' ids are null. Repeated rows are members
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, text_of, written
+from .common import numbered, scratch, text_of, written
 
 SEED = 42
 RADIUS = 3
 SHINGLE = 3
 TILE = 2048
-QUARTER = 0xFFFF
+MANY = 8_000_000  # eight counts cost a few hundred keys a tile, four leave 5 % of all pairs
 
 
 def fingerprint(text: str, shingle: int = SHINGLE) -> int:
@@ -86,25 +87,43 @@ def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> list[tuple
     return list(zip(nodes[label[out]].tolist(), nodes[out].tolist()))
 
 
-def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFrame:
+def _steps(parts: int, radius: int):
+    """Differences of counts that sum to the radius at most; of each and its opposite one."""
+
+    def below(k: int, left: int):
+        if not k:
+            yield ()
+            return
+        for x in range(-left, left + 1):
+            for rest in below(k - 1, left - abs(x)):
+                yield (x, *rest)
+
+    return (s for s in below(parts, radius) if s >= (0,) * parts)
+
+
+def links(fps: DataFrame, radius: int = RADIUS, tile: int = TILE, parts: int | None = None) -> DataFrame:
     """u, v: links that connect every group of distinct fingerprints within the radius."""
-    cells = fps.select("fp", F.concat_ws("-", *[F.lpad(F.bit_count(F.shiftrightunsigned("fp", 16 * q).bitwiseAND(F.lit(QUARTER))), 2, "0") for q in range(4)]).alias("cell"))
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("subs"))
-    # 17^4 cells at most: within any broadcast's bound
-    dealt = cells.join(F.broadcast(sizes), "cell").withColumn("sub", F.pmod(F.xxhash64("fp"), "subs").cast("int"))
+    parts = parts or (4 if fps.count() <= MANY else 8)
+    bits = 64 // parts
+    counts = [F.lpad(F.bit_count(F.shiftrightunsigned("fp", bits * q).bitwiseAND(F.lit((1 << bits) - 1))), 2, "0") for q in range(parts)]
+    cells = fps.select("fp", F.concat_ws("-", *counts).alias("cell"))
+    sizes = written(cells.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("subs")), "cells")
+    dealt = cells.join(sizes, "cell").withColumn("sub", F.pmod(F.xxhash64("fp"), "subs").cast("int"))
     tiles = written(dealt.groupBy("cell", "sub").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "tiles")
-    steps = [s for s in itertools.product(range(-radius, radius + 1), repeat=4) if sum(map(abs, s)) <= radius and s >= (0, 0, 0, 0)]
-    counts = [F.substring("cell", 3 * q + 1, 2).cast("int") for q in range(4)]
+    # names of the tile pairs first: arrays travel only to pairs that are there
+    steps = list(_steps(parts, radius))
+    at = F.transform(F.split("cell", "-"), lambda x: x.cast("int"))
     near = F.explode(F.array(*[F.array(*map(F.lit, s)) for s in steps]))
-    moved = [F.col("c")[q] + F.col("step")[q] for q in range(4)]
-    from_side = tiles.select(F.col("cell").alias("c0"), F.col("sub").alias("s0"), F.col("fps").alias("a"), F.array(*counts).alias("c"))
-    known = sizes.select(F.col("cell").alias("known"))
-    keys = from_side.select("c0", "s0", "c", near.alias("step")).select("c0", "s0", F.concat_ws("-", *[F.lpad(m.cast("string"), 2, "0") for m in moved]).alias("cell"))
-    keys = keys.join(F.broadcast(known), F.col("cell") == F.col("known"), "left_semi")
-    right = tiles.select("cell", "sub", F.col("fps").alias("b"))
-    named = keys.join(right, "cell").where((F.col("c0") != F.col("cell")) | (F.col("s0") <= F.col("sub")))
+    moved = sizes.select(F.col("cell").alias("c0"), F.col("subs").alias("subs0"), at.alias("c"), near.alias("step"))
+    other = F.array_join(F.transform(F.zip_with("c", "step", lambda x, y: x + y), lambda x: F.lpad(x.cast("string"), 2, "0")), "-")
+    cell_pairs = moved.select("c0", "subs0", other.alias("cell")).join(sizes, "cell")
+    named = cell_pairs.select("c0", "cell", F.explode(F.sequence(F.lit(0), F.col("subs0") - 1)).alias("s0"), "subs")
+    named = named.select("c0", "cell", "s0", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+    named = named.where((F.col("c0") != F.col("cell")) | (F.col("s0") <= F.col("sub")))
     left = tiles.select(F.col("cell").alias("c0"), F.col("sub").alias("s0"), F.col("fps").alias("a"))
-    pairs = named.join(left, ["c0", "s0"]).select("a", "b", ((F.col("c0") == F.col("cell")) & (F.col("s0") == F.col("sub"))).alias("same"))
+    right = tiles.select("cell", "sub", F.col("fps").alias("b"))
+    pairs = named.join(left, ["c0", "s0"]).join(right, ["cell", "sub"])
+    pairs = pairs.select("a", "b", ((F.col("c0") == F.col("cell")) & (F.col("s0") == F.col("sub"))).alias("same"))
 
     def compare(batches):
         for batch in batches:
@@ -136,12 +155,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
     """Tables of the members (i, h, fp) and of the classes (fp, label, component_id)."""
-    members = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = written(members.groupBy("fp").agg(F.min("i").alias("first")), "distinct")
-    found = components(links(distinct.select("fp"), radius))
-    named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    return members, written(named.join(smallest, "label").select("fp", "label", "component_id"), "classes")
+    with scratch(docs.sparkSession):
+        members = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints", keep=True)
+        distinct = written(members.groupBy("fp").agg(F.min("i").alias("first")), "distinct")
+        found = components(links(distinct.select("fp"), radius))
+        named = distinct.join(found, distinct.fp == found.node, "left").select("fp", "first", F.coalesce("label", "fp").alias("label"))
+        smallest = named.groupBy("label").agg(F.min("first").alias("component_id"))
+        return members, written(named.join(smallest, "label").select("fp", "label", "component_id"), "classes", keep=True)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -150,17 +170,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return members.join(known, "fp").select(F.col("i").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """docs with one row of each component: the one with the smallest id, then text hash. Columns as they were."""
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
+                 similarity: tuple[int, int] | None = None) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id, then text hash. Columns as they were.
+
+    similarity, as a fraction: groups are of texts whose shingle sets have that Jaccard similarity or more.
+    """
+    if similarity is not None:
+        from .near_copies import survivors
+
+        return only(docs, survivors(docs, id_col, text_col, shingle, similarity), id_col, text_col)
     members, known = classes(docs, id_col, text_col, shingle, radius)
     order = F.struct(F.col("i").isNull().alias("n"), F.coalesce("i", F.lit(0)).alias("j"), "h")
     stays = members.join(known, "fp").groupBy("label").agg(F.min(order).alias("s")).select("s.n", "s.j", "s.h")
-    return only(docs, stays, id_col, text_col)
+    return only(docs, written(stays, "stays"), id_col, text_col)
 
 
 def only(docs: DataFrame, stays: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs at the places stays (null id or not, id, text hash), one for each. Columns as they were."""
-    stays = written(stays, "stays")
     n, j, h, r = (f"lw_{x}" for x in "njhr")
     plain, (i, t) = numbered(docs, id_col, text_col)
     keyed = plain.withColumns({n: F.col(i).isNull(), j: F.coalesce(F.col(i).cast("long"), F.lit(0)), h: F.xxhash64(text_of(t))})
