@@ -193,6 +193,58 @@ def test_quality_outliers(spark):
     assert out.columns == df.columns and {r.doc_id for r in out.collect()} == kept
 
 
+def brute_mcd(x, parent):
+    """The smallest determinant over all subsets of the size that the operator takes."""
+    import itertools
+
+    best = None
+    for subset in itertools.combinations(range(len(x)), -(-3 * len(x) // 4)):
+        y = x[list(subset)]
+        mean, cov = y.mean(axis=0), np.cov(y.T, bias=True) * quality.consistency(0.75, quality.DIMS)
+        if parent is not None:
+            own = len(y) / (len(y) + quality.PRIOR_ROWS)
+            cov = own * cov + (1 - own) * parent
+        best = min(x for x in (best, np.linalg.slogdet(cov + quality._FLOOR)[1]) if x is not None)
+    return best
+
+
+def test_minimum_covariance_determinant(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    scale = np.array(quality.FLOORS) * quality.UNIT * 4
+    data, groups = [], {}
+    for g in range(4):
+        x = (rng.normal(size=(12, 6)) * scale + 500).round().astype(int)
+        x[:3] += (np.array([40, 0, 30, 0, 0, 20]) * scale).round().astype(int)
+        groups[f"s{g}"] = x
+        data += [("en", f"s{g}", row.tolist()) for row in x]
+    fit = spark.createDataFrame(data, "lang string, source string, x array<long>").repartition(2)
+    seen = []
+    keep = quality.written
+
+    def spy(df, label, **kw):
+        out = keep(df, label, **kw)
+        if label == "mcd":
+            seen.append(out.collect())
+        return out
+
+    monkeypatch.setattr(quality, "written", spy)
+    got = {r.source: r for r in quality.estimates(fit).collect()}
+
+    (parent,) = [r for r in seen[-1] if r.level == 1]
+    for name, x in groups.items():
+        (ours,) = [min(r.logdet) for r in seen[-1] if r.source == name]
+        assert ours <= brute_mcd(x.astype(float), quality._square(parent.cov[parent.best])) + 0.02, name
+        d = quality._distances(x, got[name].centre, got[name].inverse)
+        assert (d[:3] > quality.LIMIT).all() and (d[3:] < quality.LIMIT).all()
+
+
+
+def test_every_text_has_a_distance(spark):
+    data = [(k, prose(k, 60 + k), ["en", "de", None][k % 3], f"s{k % 17}") for k in range(60)]
+    rows = quality.quality(spark.createDataFrame(data, "doc_id long, text string, lang string, source string")).where("NOT base_failed").collect()
+    assert rows and all(r.distance is not None for r in rows)
+
+
 def test_chi2():
     assert abs(quality.chi2_quantile(0.95, 1) - 3.841459) < 1e-4
     assert abs(quality.chi2_quantile(0.5, 6) - 5.348121) < 1e-4
@@ -269,10 +321,19 @@ def test_byte_encoder(library):
 
     random.seed(3)
     encoder = encoding.ByteEncoder(vocabulary_path(BYTE), cache_units=50)
+    made = []
     parts = ["ab", " ", "  ", "\n", "\t", "'s", "é", "漢", "1", "٣", "\x85", "\x1c", ",", ".", "<|endoftext|>", "😀", "-", "the", "Word"]
     for _ in range(3000):
         s = "".join(random.choice(parts) for _ in range(random.randint(0, 20)))
         assert encoder.ids(s) == encoder.library(s), s
+        made.append(s)
+    made += ["a.", "a. b, c\nd", "(a). b", "...\nx", "it's. He'll", "é.\nÉ ß, x", ". x", ", x", "a\n", "\na", "x" * 3_000_000]
+    import pyarrow as pa
+
+    for part in (made, [], ["plain words here. Yes,\nand more"] * 5):
+        raw, sizes = encoder.batch(pa.array(part, pa.string()))
+        want = [encoder.library(s) for s in part]
+        assert raw == b"".join(want) and sizes.tolist() == [len(w) // 4 for w in want]
 
 
 # 6 packing
@@ -311,6 +372,33 @@ def test_packing_to_given_proportions(docs, library):
     assert first.get("s0", 0) > first.get("s1", 0)
 
 
+def test_packing_holds_given_proportions_over_blocks(spark):
+    """Six blocks, shares unlike the corpus's: windows are near the target until a source runs dry."""
+    data = [(k, prose(k, 250 + k % 90), "a" if k % 2 else "b") for k in range(400)] + [(1000 + k, "x " * 30, None) for k in range(20)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = packing.pack(df, vocabulary_path(BYTE), proportions={"a": 75, "b": 25, "absent": 10}, block_tokens=16 * 2048).collect()
+    ids = {i: n for p in got for i, n in [(p.doc_id, p.doc_tokens)]}
+    assert sum(p.length for p in got) == sum(ids.values()) and len(ids) == len(data)
+    for i, n in ids.items():
+        at = 0
+        for p in sorted((p for p in got if p.doc_id == i), key=lambda p: p.start):
+            assert p.start == at
+            at += p.length
+        assert at == n
+    windows: dict = {}
+    for p in got:
+        windows.setdefault(p.sequence_id, {}).setdefault(p.source, 0)
+        windows[p.sequence_id][p.source] += p.length
+    whole = {w: x for w, x in windows.items() if sum(x.values()) == 2048}
+    supply = {s: sum(p.length for p in got if p.source == s) for s in ("a", "b", None)}
+    mixed = round(supply["a"] / 0.75 / (16 * 2048))  # a is dry first
+    assert mixed >= 5
+    early = [x for w, x in whole.items() if w >> 32 < mixed]
+    assert len(early) >= 15 * mixed and all(abs(x.get("a", 0) / 2048 - 0.75) <= 0.1 and None not in x for x in early)
+    assert sum(p.length for p in got if p.source == "a" and p.sequence_id >> 32 >= mixed) <= 1  # rounding
+    assert any(None in x for x in windows.values())
+
+
 def test_drr_keeps_proportions():
     queues = {"a": 60_000, "b": 30_000, "c": 10_000}
     share = {"a": 0.6, "b": 0.3, "c": 0.1}
