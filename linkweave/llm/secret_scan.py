@@ -1,12 +1,14 @@
 """Op 2: secrets in texts: three fixed patterns and a battery of randomness tests. DataFrame functions only.
 
-Base spans come from the patterns. Candidates of the battery are maximal runs of base64 and URL-safe
-characters, MIN_RUN long or more, with a digit. The encoding is inferred from the characters used. Per
-token, three equivalence tests ask whether it is closer to uniformly random symbols than structured
-text could be: chi-squared over the encoding's alphabet (structure: non-centrality DELTA a symbol),
-runs above and below the middle of the alphabet (structure: off by RUNS_OFF of the expected number)
-and serial correlation (structure: SERIAL_OFF). Each gives a normal deviate, negative if random;
-Stouffer's sum of the three gives one p-value a token. Short tokens can't reach small ones.
+Base spans come from the patterns. Candidates of the battery are all maximal runs of base64 and
+URL-safe characters of MIN_RUN or more, with "=" as padding only, so NAME=value is two. The encoding is
+inferred from the characters used. Per token, three equivalence tests ask whether it is closer to
+uniformly random symbols than structured text could be: chi-squared over the encoding's alphabet
+(structure: letters as unequal as in words, COINCIDENCE, see DELTA), runs above and below the middle of
+the alphabet (structure: off by RUNS_OFF of the expected number) and serial correlation (structure:
+SERIAL_OFF). Each gives a normal deviate, negative if random; Stouffer's sum of the three gives one
+p-value a token. Short tokens can't reach small ones: that, and not a floor, decides about them, but
+for MIN_RUN, a parameter under which not one of 2,000 random tokens was ever flagged.
 Benjamini-Hochberg at level FDR runs within each encoding and length class (power of two), over a
 histogram of the corpus's p-values; a class has one threshold, all classes are a few hundred at most.
 
@@ -31,22 +33,27 @@ HEX = r"[0-9a-f]{16,}"
 MIN_VALUE = 12
 KINDS = ("assign", "access", "hex", "random")
 
-RUN = r"A-Za-z0-9+/_=\-"
-MIN_RUN = 20
-TOKEN = rf"(?<![{RUN}])(?=[A-Za-z+/_=\-]*[0-9])[{RUN}]{{{MIN_RUN},}}"
+RUN = r"A-Za-z0-9+/_\-"
+MIN_RUN = 16
+TOKEN = rf"(?<![{RUN}])[{RUN}]{{{MIN_RUN},}}={{0,2}}"
 DIGITS, UPPER, LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: name, what the token must match, alphabet; the first that fits counts
 ENCODINGS = (
     ("hex", "^[0-9a-f]+$", DIGITS + "abcdef"),
     ("HEX", "^[0-9A-F]+$", DIGITS + "ABCDEF"),
+    ("lower", "^[a-z]+$", LOWER),
+    ("upper", "^[A-Z]+$", UPPER),
     ("base32", "^[A-Z2-7]+$", UPPER + "234567"),
     ("lower36", "^[0-9a-z]+$", DIGITS + LOWER),
     ("upper36", "^[0-9A-Z]+$", DIGITS + UPPER),
     ("base62", "^[0-9A-Za-z]+$", DIGITS + UPPER + LOWER),
     ("base64", "^[0-9A-Za-z+/]+$", UPPER + LOWER + DIGITS + "+/"),
     ("base64url", r"^[0-9A-Za-z_\-]+$", UPPER + LOWER + DIGITS + "-_"),
+    ("mixed", r"^[0-9A-Za-z+/_\-]+$", UPPER + LOWER + DIGITS + "+/-_"),
 )
-DELTA, RUNS_OFF, SERIAL_OFF = 1.0, 0.35, 0.4
+#: How often two letters of a word are the same, and the least non-centrality a symbol that counts as structure.
+COINCIDENCE, LEAST_DELTA = 0.066, 0.6
+RUNS_OFF, SERIAL_OFF = 0.35, 0.4
 FDR = 0.01
 PER_E, EDGES = 4, 120  # p-value bins: e^(-bin / PER_E)
 BLOCK = 64
@@ -84,7 +91,7 @@ def _p_value(token: str) -> str:
     counts = "aggregate(sequence(1, length(a)), 0.0D, (t, k) -> t + pow(length(v) - length(replace(v, substr(a, k, 1), '')), 2))"
     high = "translate(v, a, concat(repeat('0', cast(length(a) div 2 as int)), repeat('1', cast(length(a) - length(a) div 2 as int))))"
     products = "aggregate(zip_with(slice(x, 1, size(x) - 1), slice(x, 2, size(x) - 1), (p, q) -> p * q), 0.0D, (t, y) -> t + y)"
-    z_chi = "(chi - (df + n * {d})) / sqrt(2 * (df + 2 * n * {d}))".format(d=DELTA)
+    z_chi = "(chi - (df + n * delta)) / sqrt(2 * (df + 2 * n * delta))"
     z_runs = f"(abs(runs - (2 * n1 * n0 / n + 1)) - {RUNS_OFF} * n / 2) / (sqrt(n) / 2)"
     z_serial = f"(abs((n * products - sums * sums) / greatest(n * squares - sums * sums, 1.0D)) - {SERIAL_OFF}) * sqrt(n)"
 
@@ -103,6 +110,7 @@ def _p_value(token: str) -> str:
     body = let("runs", "cast(length(regexp_replace(bits, '0+|1+', 'r')) as double)", body)
     body = let("bits", high, body)
     body = let("chi", f"length(a) * {counts} / n - n", body)
+    body = let("delta", f"greatest({LEAST_DELTA}D, {COINCIDENCE}D * length(a) - 1)", body)
     body = let("df", "length(a) - 1", body)
     body = let("n", "cast(length(v) as double)", body)
     body = let("x", "transform(split(v, ''), ch -> cast(instr(a, ch) - 1 as double))", body)
@@ -131,7 +139,7 @@ def _class(enc: Column, n: Column) -> Column:
 
 def thresholds(found: DataFrame, fdr: float = FDR) -> dict[int, int]:
     """For each encoding and length class with any: the smallest bin of p-values that counts as
-    random. At most 8 encodings x 31 lengths come to the driver."""
+    random. At most 11 encodings x 31 lengths come to the driver."""
     token = found.select(F.explode("lw_tokens").alias("y")).select(_class(F.col("y.enc"), F.col("y.n")).alias("c"), _bin(F.col("y.p")).alias("b"))
     counts = token.groupBy("c", "b").agg(F.count("*").alias("n"))
     by_class = counts.groupBy("c").agg(F.sum("n").alias("m"), F.collect_list(F.struct("b", "n")).alias("bins"))  # EDGES bins at most

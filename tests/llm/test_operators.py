@@ -131,19 +131,67 @@ def test_secret_base(docs, empty):
     assert secret_scan.secret_scan(empty).count() == 0
 
 
+def brute_p(token):
+    """The three statistics of a token by their definitions, combined; (encoding, length, p)."""
+    import math
+
+    v = token.rstrip("=")
+    enc = next((k for k, (_, pattern, _) in enumerate(secret_scan.ENCODINGS) if re.fullmatch(pattern.strip("^$"), v)), None)
+    if enc is None or len(v) < 16:
+        return None
+    alphabet = secret_scan.ENCODINGS[enc][2]
+    a, n = len(alphabet), len(v)
+    chi = sum((v.count(c) - n / a) ** 2 / (n / a) for c in alphabet)
+    delta = max(0.6, 0.066 * a - 1)
+    z = (chi - (a - 1 + n * delta)) / math.sqrt(2 * (a - 1 + 2 * n * delta))
+    x = [alphabet.index(c) for c in v]
+    high = [k >= a // 2 for k in x]
+    runs = 1 + sum(p != q for p, q in zip(high, high[1:]))
+    z += (abs(runs - (2 * sum(high) * (n - sum(high)) / n + 1)) - 0.35 * n / 2) / (math.sqrt(n) / 2)
+    serial = (n * sum(p * q for p, q in zip(x, x[1:])) - sum(x) ** 2) / max(n * sum(p * p for p in x) - sum(x) ** 2, 1.0)
+    z += (abs(serial) - 0.4) * math.sqrt(n)
+    z /= math.sqrt(3)
+    return enc, n, 1 / (1 + math.exp(min(-(1.5976 * z + 0.070565992 * z**3), 700)))
+
+
+def brute_random(found):
+    """Benjamini-Hochberg by encoding and length class; found: text -> its tokens with places."""
+    import math
+
+    tests = [(t, s, e, *brute_p(m)) for t, tokens in found.items() for s, e, m in tokens if brute_p(m)]
+    classes: dict = {}
+    for t, s, e, enc, n, p in tests:
+        classes.setdefault((enc, int(math.log2(n))), []).append((min(120, int(-math.log(max(p, 1e-300)) * 4)), t, s, e))
+    out: dict = {}
+    for rows in classes.values():  # p-values count as the upper edge of their quarter octave of e
+        passed = [b for b, *_ in rows if math.exp(-b / 4) <= 0.01 * sum(c >= b for c, *_ in rows) / len(rows)]
+        for b, t, s, e in rows:
+            if passed and b >= min(passed):
+                out.setdefault(t, set()).add((s, e))
+    return out
+
+
 def test_secret_battery_and_redaction(spark):
     rng = np.random.default_rng(5)
-    al = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    random = ["".join(al[k] for k in rng.integers(0, 64, 60)) for _ in range(40)]
+    make = lambda al, n: "".join(al[k] for k in rng.integers(0, len(al), n))
+    b64 = secret_scan.ENCODINGS[-3][2]
+    random = [make(b64, 60) for _ in range(40)] + ["X_KEY=" + make(b64[:62], 40) for _ in range(40)] + [make(secret_scan.LOWER, 60) for _ in range(10)] + [make(b64, 43) + "=" for _ in range(10)]
     plain = ["xyzxyzxyz123xyzxyzxyz123xyzxyzxyz123" + "x" * k for k in range(40)]
-    data = [(k, f"see {t} there") for k, t in enumerate(random + plain)] + [(99, "word " * 4000 + "0123456789abcdef" * 3000)]
+    plain += ["-".join(prose(k, 8).lower().replace(".", "").split()) for k in range(60)] + ["/".join(prose(k, 6).title().split()) for k in range(60)]
+    data = [(k, f"see {t} there") for k, t in enumerate(random + plain)] + [(999, "word " * 4000 + "0123456789abcdef" * 3000), (1000, make(b64, 15) + " short " + make(b64, 16))]
     df = spark.createDataFrame(data, "doc_id long, text string").repartition(2)
     got = {r.doc_id: r for r in secret_scan.secret_scan(df).collect()}
-    assert sum("random:4:64" in got[k].spans for k in range(40)) >= 30
-    assert sum(got[k].n_random for k in range(40, 80)) == 0
+    token = re.compile(r"(?<![A-Za-z0-9+/_\-])[A-Za-z0-9+/_\-]{16,}={0,2}")
+    want = brute_random({i: [(m.start(), m.end(), m[0]) for m in token.finditer(t)] for i, t in data})
+    for i, _ in data:
+        spans = {tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("random:")}
+        assert spans == want.get(i, set()), i
+    flagged = [bool(want.get(k)) for k in range(len(data))]
+    assert sum(flagged[:40]) >= 38 and sum(flagged[40:80]) >= 35 and sum(flagged[80:100]) >= 15
+    assert not any(flagged[100:260])
     out = {r.doc_id: r.text for r in secret_scan.redacted(df).collect()}
-    assert out[0] == "see [secret] there" if got[0].n_random else data[0][1]
-    assert out[45] == "see " + plain[5] + " there" and out[99].endswith("word [secret]")
+    assert want[0] and out[0] == "see [secret] there" and want[40] and out[40] == "see X_KEY=[secret] there"
+    assert out[105] == "see " + plain[5] + " there" and out[999].endswith("word [secret]")
 
 
 def test_match_places_of_many_matches(spark):
