@@ -25,9 +25,9 @@ _SAFE = re.compile(f"[{_LETTERS}]*\\Z")
 #: White space that doesn't stand alone between two other characters, stops behind other signs, and
 #: characters not known as safe.
 _ODD = rf"^[ \n]|[ \n][ \n]|[ \n]\z|[\t\r]|(?:^|[^\p{{L}}\p{{N}}])[.,][ \n]|[^{_LETTERS}]"
-CACHE_UNITS = 1_000_000  # in two halves: the older one goes when the younger is full
+CACHE_UNITS = 500_000  # in two halves: the older one goes when the younger is full
 _MARK = "\x00"
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 
 
 def vocabulary_path(name: str) -> str:
