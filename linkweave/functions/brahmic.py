@@ -1,8 +1,9 @@
-"""Brahmic scripts in Latin letters."""
+"""Brahmic scripts in Latin letters, as column expressions."""
 
 from __future__ import annotations
 
-import re
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Latin sounds by offset in a Brahmic block.
 BRAHMIC = {
@@ -14,23 +15,23 @@ BRAHMIC = {
     0x36: "sh", 0x37: "sh", 0x38: "s", 0x39: "h",
     0x3E: "a", 0x3F: "i", 0x40: "ee", 0x41: "u", 0x42: "oo", 0x46: "e", 0x47: "e", 0x48: "ai", 0x4A: "o", 0x4B: "o", 0x4C: "au", 0x4D: "",
 }
-INDIC_FIRST, INDIC_LAST = 0x0900, 0x0D7F
-
-
-def romanise(text: str) -> str:
-    out = []
-    for c, after in zip(text, [*text[1:], ""]):
-        code = ord(c)
-        if not INDIC_FIRST <= code <= INDIC_LAST:
-            out.append(c)
-            continue
-        offset = code % 0x80
-        if offset not in BRAHMIC:
-            out.append(c)
-            continue
-        out.append(BRAHMIC[offset])
-        if 0x15 <= offset <= 0x39:
-            sign = ord(after) % 0x80 if after and INDIC_FIRST <= ord(after) <= INDIC_LAST else -1
-            if not (0x3E <= sign <= 0x4D or sign in (0x02, 0x03)):
-                out.append("a")  # the inherent vowel
-    return " ".join(re.sub(r"[^\w\s]", " ", "".join(out).lower()).split())
+#: First code points of the blocks, which lay out their letters alike.
+BLOCKS = range(0x0900, 0x0D80, 0x80)
+
+
+def _every(first: int, last: int) -> str:
+    """A character class's ranges of the offsets first to last in every block."""
+    return "".join(f"{chr(b + first)}-{chr(b + last)}" for b in BLOCKS)
+
+
+#: A consonant that no vowel sign, virama, nasal sign or breath follows has the inherent vowel.
+_BARE = f"([{_every(0x15, 0x39)}])(?![{_every(0x02, 0x03)}{_every(0x3E, 0x4D)}])"
+
+
+def latin(c: Column) -> Column:
+    """All blocks' letters brought to the first block, then each replaced by its sound."""
+    offsets = [o for o in BRAHMIC for _ in BLOCKS]
+    s = F.translate(F.regexp_replace(c, _BARE, "$1a"), "".join(chr(b + o) for o in BRAHMIC for b in BLOCKS), "".join(chr(BLOCKS[0] + o) for o in offsets))
+    for offset, sound in BRAHMIC.items():
+        s = F.replace(s, F.lit(chr(BLOCKS[0] + offset)), F.lit(sound))
+    return s

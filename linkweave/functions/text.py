@@ -1,7 +1,7 @@
 """Column functions on names and addresses: normalisation, tokens, signatures, similarities.
 
-Everything is built from Spark SQL functions but for three Unicode operations Spark lacks (NFKC,
-NFKD without marks, Brahmic romanisation), which are Arrow-batched pandas UDFs with an ASCII shortcut.
+Everything is built from Spark SQL functions but for two Unicode operations Spark lacks (NFKC, and
+NFKD without marks), which are Arrow-batched pandas UDFs with an ASCII shortcut.
 Enrich records once (see operators.records), not pairs.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from .brahmic import romanise
+from .brahmic import latin
 
 # Legal forms dropped from names.
 LEGAL_FORMS = (
@@ -51,12 +51,6 @@ def strip_accents(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else bare(x))
 
 
-@F.pandas_udf(StringType())
-def romanised(s: pd.Series) -> pd.Series:
-    """Brahmic scripts in Latin letters; other characters stay, punctuation goes."""
-    return s.map(lambda x: x if x is None else romanise(x))
-
-
 def _text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -174,6 +168,12 @@ def has_indic(raw: Column | str) -> Column:
     return _text(raw).rlike(r"[\x{0900}-\x{0D7F}]")
 
 
+def romanised(raw: Column | str) -> Column:
+    """Brahmic scripts in Latin letters; other characters stay, punctuation goes."""
+    s = _text(raw)
+    return alphanumeric(F.lower(F.when(has_indic(s), latin(s)).otherwise(s)))
+
+
 def indic_signature(raw: Column | str, least: int = 4) -> Column:
     """Compact romanised name without corporate words; empty for names in other scripts."""
     plain = F.regexp_replace(romanised(_text(raw)), _NOT_AFTER + "(?:" + "|".join(ROMANISED_FORMS) + ")" + _NOT_BEFORE, "")

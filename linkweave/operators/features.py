@@ -30,6 +30,8 @@ def inventory() -> list[tuple[int, str, str]]:
 
 def with_grams(enriched: DataFrame) -> DataFrame:
     """What the n-gram cosines need, once a record."""
+    if "latin_grams" in enriched.columns:
+        return enriched
     return enriched.withColumns({"name_grams": t.gram_counts(F.col("name")), "address_grams": t.gram_counts(F.col("address")), "latin_grams": t.gram_counts(F.when(F.col("is_indic"), F.col("latin_name")).otherwise(F.col("name")))})
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import running_down
+
 
 def _share(a: Column, b: Column, empty: float = 0.0) -> Column:
     return F.when(b > 0, a / b).otherwise(empty)
@@ -110,12 +114,10 @@ def policy_report(scores: DataFrame) -> DataFrame:
 def pair_quality(labelled: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Precision and recall at a threshold, average precision by steps, ROC area; label, score in.
 
-    Scores are grouped first, so the running sums go over distinct scores.
+    Scores are grouped first, so the running sums go over distinct scores, range by range.
     """
     groups = labelled.groupBy("score").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    everything = Window.partitionBy()
-    g = groups.select("score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"), F.sum("p").over(everything).alias("all_p"), F.sum("n").over(everything).alias("all_n"))
+    g = running_down(groups, "score", ["p", "n"]).withColumnsRenamed({"run_p": "tp", "run_n": "fp"})
     hit = F.col("score") >= threshold
     tp, pred = F.sum(F.when(hit, F.col("p")).otherwise(0)), F.sum(F.when(hit, F.col("p") + F.col("n")).otherwise(0))
     step = F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp")))
@@ -166,19 +168,34 @@ def rank_margin(scored: DataFrame) -> DataFrame:
 def paired_bootstrap(a: DataFrame, b: DataFrame, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """Mean difference of two policies' entity scores with a percentile interval.
 
-    Every entity draws its Poisson weights for all rounds from hashes, so a round is a weighted mean
-    and nothing is gathered but one sum a round.
+    Every entity draws its Poisson weights for all rounds from hashes, so a round is a weighted mean.
+    Each task adds its entities' weights up and gives one row a round.
     """
     d = a.select("s1_id", F.col("f05").alias("x")).join(b.select("s1_id", F.col("f05").alias("y")), "s1_id").select("s1_id", (F.col("y") - F.col("x")).alias("d"))
-    u = (F.pmod(F.xxhash64("s1_id", "round", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("u")
-    steps, total, term = [], 0.0, 0.36787944117144233
-    for k in range(8):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    weight = sum(((F.col("u") > s).cast("int") for s in steps), F.lit(0))
-    drawn = d.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds)))).select("round", "d", u).withColumn("w", weight)
-    means = drawn.groupBy("round").agg((F.sum(F.col("d") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1))).alias("m"))
+
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        # Poisson distribution function at rate one
+        steps = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+        weighted, weights, n = np.zeros(rounds), np.zeros(rounds), 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                h = part.column(0).to_numpy().view(np.uint64)[:, None] + np.arange(1, rounds + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):  # mixing constants of SplitMix64
+                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+                u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+                w = np.searchsorted(steps, u, "left").astype(float)
+                weighted += part.column(1).to_numpy() @ w
+                weights += w.sum(axis=0)
+                n += part.num_rows
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, rounds + 1)), pa.array(weighted), pa.array(weights)], ["round", "dw", "w"])
+
+    drawn = d.select(F.xxhash64("s1_id", F.lit(seed)).alias("h"), "d").mapInArrow(draw, "round long, dw double, w double")
+    means = drawn.groupBy("round").agg((F.sum("dw") / F.greatest(F.sum("w"), F.lit(1.0))).alias("m"))
     spread = means.agg(F.percentile("m", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg((F.col("m") <= 0).cast("double")).alias("below"), F.avg((F.col("m") >= 0).cast("double")).alias("above"))
     whole = d.agg(F.avg("d").alias("mean_delta"), F.sum((F.col("d") > 1e-6).cast("long")).alias("improved"), F.sum((F.col("d") < -1e-6).cast("long")).alias("worsened"), F.sum((F.abs("d") <= 1e-6).cast("long")).alias("tied"))
     both = whole.withColumn("one", F.lit(1)).join(spread.withColumn("one", F.lit(1)), "one")

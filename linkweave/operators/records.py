@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from .tables import cut_off
 
 BASE = ("entity_id", "business_name", "business_address", "country")
 
@@ -53,8 +54,9 @@ def targets_of(records: DataFrame) -> DataFrame:
 def load_with_distractors(records: DataFrame, s1_ids: DataFrame, target_ids: DataFrame, per_source: int = 250_000) -> DataFrame:
     """The wanted queries and targets, and the first per_source other targets of each source."""
     wanted = records.join(s1_ids.select(F.col("s1_id").alias("entity_id")).union(target_ids.select("target_id")).distinct(), "entity_id", "left_semi")
-    from pyspark.sql import Window
-
-    others = with_source(targets_of(records).join(target_ids.select(F.col("target_id").alias("entity_id")).distinct(), "entity_id", "left_anti"))
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("entity_id"))
-    return wanted.unionByName(others.withColumn("r", rank).where(F.col("r") <= per_source).select(*records.columns))
+    others = targets_of(records).join(target_ids.select(F.col("target_id").alias("entity_id")).distinct(), "entity_id", "left_anti")
+    for source in ("S2-", "S3-"):
+        part = others.where(F.col("entity_id").startswith(source))
+        last = cut_off(part, "entity_id", per_source)  # null: the source has no more than these
+        wanted = wanted.unionByName(part if last is None else part.where(F.col("entity_id") <= last))
+    return wanted

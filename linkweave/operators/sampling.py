@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import cut_off
+
 
 def _order(*cols: Column | str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", *cols, F.lit(str(seed))))
@@ -13,13 +15,10 @@ def _order(*cols: Column | str, seed: int) -> Column:
 def entity_split(ids: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
     """entity_id, part: round(n * share) ids go to validation, first by hash."""
     one = ids.select("entity_id").distinct().withColumn("h", _order("entity_id", seed=seed))
-    n = one.count()
+    want = round(one.count() * share)
     # the cut-off is one order statistic: no ranking of all ids in one task
-    want = round(n * share)
-    if want == 0:
-        return one.select("entity_id", F.lit("train").alias("part"))
-    last = one.orderBy("h", "entity_id").limit(want).agg(F.max(F.struct("h", "entity_id")).alias("m")).first()["m"]
-    inside = (F.col("h") < last["h"]) | ((F.col("h") == last["h"]) & (F.col("entity_id") <= last["entity_id"]))
+    last = cut_off(one.withColumn("h", F.concat_ws("|", "h", "entity_id")), "h", want) if want else None
+    inside = F.concat_ws("|", "h", "entity_id") <= F.lit(last) if last is not None else F.lit(False)
     return one.select("entity_id", F.when(inside, "validation").otherwise("train").alias("part"))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import audit, blocking, features, metrics, models, policy, sampling, sets, tfidf
 from ..operators.records import enrich, load_with_distractors, queries_of, targets_of
+from ..operators.tables import stored
 from ..sources import sinks
 from . import adapters
 
@@ -31,7 +32,12 @@ class Linkage:
 
     @cached_property
     def enriched(self) -> DataFrame:
-        return enrich(self.records)
+        """Worked out once a query, however many sides and blocks read it."""
+        return stored(enrich(self.records), "enriched")
+
+    @cached_property
+    def with_grams(self) -> DataFrame:
+        return stored(features.with_grams(self.enriched), "grams")
 
     @cached_property
     def q(self) -> DataFrame:
@@ -62,7 +68,7 @@ class Linkage:
 
     @cached_property
     def feats(self) -> DataFrame:
-        return features.pair_features(self.arm_b, self.enriched)
+        return features.pair_features(self.arm_b, self.with_grams)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -152,7 +158,7 @@ def sim1_levenshtein_ratio(x):
 
 @query
 def sim2_ngram_cosine(x):
-    rows = features.with_grams(x.enriched)
+    rows = x.with_grams
     side = lambda key, p: rows.select(F.col("entity_id").alias(key), F.col("name").alias(p), F.col("name_grams").alias(f"{p}g"))
     pairs = x.pairs(blocking.char_boundary(4, None)).join(side("s1_id", "a"), "s1_id").join(side("target_id", "b"), "target_id")
     return pairs.select("s1_id", "target_id", F.round(t.gram_cosine(F.col("a"), F.col("b"), F.col("ag"), F.col("bg")), 6).alias("value"))
@@ -273,7 +279,7 @@ def k4_merged_top_k(x):
     vocab, tv = tfidf.fit(x.t, tfidf.TfidfParams())
     qv = tfidf.vectors(tfidf.document_terms(x.q, tfidf.retrieval_text()), vocab)
     part = F.col("id").startswith("S2-")
-    chunks = [tfidf.ranked(tfidf.similarities(qv, tv.where(p)), 10) for p in (part, ~part)]
+    chunks = [tfidf.best_pairs(qv, tv.where(p), vocab, 10) for p in (part, ~part)]
     return tfidf.merge_top_k(chunks, 10).select("s1_id", "target_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
@@ -365,7 +371,7 @@ def f_matrix_sanitized(x):
 
 @query
 def v6_feature_parity(x):
-    again = features.pair_features(x.arm_b.repartition(7), x.enriched)
+    again = features.pair_features(x.arm_b.repartition(7), x.with_grams)
     return features.max_difference(x.feats, again)
 
 
