@@ -91,14 +91,16 @@ def strip_legal(clean: Column) -> Column:
 
 
 def char_ngrams(c: Column, n: int = 3) -> Column:
+    """Every run of n characters, in time that grows with the text: one pattern looks ahead from each place."""
     s = F.replace(_text(c), F.lit(" "), F.lit(""))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - n + 1)), lambda i: F.substring(s, i, n))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(grams)
+    grams = F.regexp_extract_all(s, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.when(s == "", F.array().cast("array<string>")).when(F.length(s) < n, F.array(s)).otherwise(grams)
 
 
 def token_ngrams(words: Column, n: int = 2) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
-    return F.when(F.size(words) == 0, F.array().cast("array<string>")).otherwise(grams)
+    # the words as a variable: worked out once, not at every place
+    grams = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - n + 1)), lambda i: F.array_join(F.slice(w, i, n), " "))
+    return F.transform(F.array(words), lambda w: F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(grams(w)))[0]
 
 
 def informative_tokens(words: Column) -> Column:

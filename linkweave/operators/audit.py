@@ -84,17 +84,38 @@ def submission_violations(rows: DataFrame, expected: DataFrame, samples: int = 5
 
 
 def verify_output(spine: DataFrame, preds: DataFrame, targets: DataFrame) -> DataFrame:
-    """Counts and PASS or FAIL of a written prediction: every target must exist, every S1 be known."""
+    """Counts, cardinalities and PASS or FAIL of a written prediction: every target must exist (all are
+    looked up, not a sample), every S1 be known, no target be named twice."""
     unknown = preds.join(targets.select(F.col("entity_id").alias("target_id")), "target_id", "left_anti").agg(F.count("*").alias("unknown_targets"))
     foreign = preds.join(spine.select("s1_id"), "s1_id", "left_anti").agg(F.count("*").alias("unknown_entities"))
     again = preds.groupBy("s1_id", "target_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum((F.col("n") > 1).cast("long")), F.lit(0)).alias("repeated"))
-    base = preds.agg(F.count("*").alias("predictions"), F.countDistinct("s1_id").alias("matched_entities"))
-    one = [d.withColumn("one", F.lit(1)) for d in (base, unknown, foreign, again)]
+    s2, s3 = F.col("target_id").startswith("S2-"), F.col("target_id").startswith("S3-")
+    n = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0))
+    base = preds.agg(F.count("*").alias("predictions"), F.countDistinct("s1_id").alias("matched_entities"), n(s2).alias("s2_links"), n(s3).alias("s3_links"), n(~s2 & ~s3).alias("wrong_prefix"))
+    per = spine.select("s1_id").join(preds.groupBy("s1_id").agg(F.count("*").alias("k")), "s1_id", "left").na.fill(0)
+    sizes = per.agg(F.count("*").alias("entities"), *[n(F.col("k") == k).alias(f"cardinality_{k}") for k in range(4)], n(F.col("k") > 3).alias("cardinality_more"))
+    one = [d.withColumn("one", F.lit(1)) for d in (base, unknown, foreign, again, sizes)]
     rows = reduce(lambda a, b: a.join(b, "one"), one).drop("one")
-    bad = F.col("unknown_targets") + F.col("unknown_entities") + F.col("repeated")
+    bad = F.col("unknown_targets") + F.col("unknown_entities") + F.col("repeated") + F.col("wrong_prefix")
     return rows.withColumn("verdict", F.when(bad == 0, "PASS").otherwise("FAIL"))
 
 
+def id_round_trip(spine: DataFrame, links: DataFrame, targets: DataFrame) -> DataFrame:
+    """Target ids through the prediction file's form and back: how many there are, how many come back
+    changed or not at all, and how many have a wrong prefix."""
+    from ..sources.sinks import prediction_rows
+    from ..sources.tsv import TRUTH_COLUMNS, parsed_matches
+
+    rows = prediction_rows(spine, links.select("s1_id", "target_id", F.lit(1.0).alias("score"), F.lit(1).alias("rank")))
+    back = rows.select(F.col(TRUTH_COLUMNS[0]).alias("s1_id"), F.explode(parsed_matches(F.col(TRUTH_COLUMNS[1]))).alias("target_id"))
+    lost = links.select("s1_id", "target_id").exceptAll(back).agg(F.count("*").alias("lost"))
+    new = back.exceptAll(links.select("s1_id", "target_id")).agg(F.count("*").alias("changed"))
+    prefix = targets.select("entity_id").agg(F.count("*").alias("targets"), F.coalesce(F.sum((~F.col("entity_id").rlike("^S[23]-")).cast("long")), F.lit(0)).alias("wrong_prefix"))
+    one = [d.withColumn("one", F.lit(1)) for d in (back.agg(F.count("*").alias("ids")), lost, new, prefix)]
+    rows = reduce(lambda a, b: a.join(b, "one"), one).drop("one")
+    return rows.withColumn("verdict", F.when(F.col("lost") + F.col("changed") + F.col("wrong_prefix") == 0, "PASS").otherwise("FAIL"))
+
+
 def leakage(train: DataFrame, validation: DataFrame, truth: DataFrame) -> DataFrame:
     """Ids in both parts, and ids the parts lack or add against the whole."""
     both = train.select("entity_id").intersect(validation.select("entity_id"))

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from .tables import running_down
 
 
@@ -56,9 +57,9 @@ def blocking_volume(spine: DataFrame, pairs: DataFrame, n_targets: int) -> DataF
 
 def entity_scores(spine: DataFrame, links: DataFrame, preds: DataFrame, beta2: float = 0.25) -> DataFrame:
     """s1_id, n_true, n_pred, tp, precision, recall, f05 of every entity."""
-    t = links.select("s1_id", "target_id", F.lit(1).alias("a"), F.lit(0).alias("b"))
+    l = links.select("s1_id", "target_id", F.lit(1).alias("a"), F.lit(0).alias("b"))  # noqa: E741
     p = preds.select("s1_id", "target_id", F.lit(0).alias("a"), F.lit(1).alias("b"))
-    both = t.unionByName(p).groupBy("s1_id", "target_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    both = l.unionByName(p).groupBy("s1_id", "target_id").agg(F.max("a").alias("a"), F.max("b").alias("b"))
     counts = both.groupBy("s1_id").agg(F.sum("a").alias("n_true"), F.sum("b").alias("n_pred"), F.sum(F.col("a") * F.col("b")).alias("tp"))
     rows = spine.select("s1_id").join(counts, "s1_id", "left").na.fill(0, ["n_true", "n_pred", "tp"])
     none = (F.col("n_true") == 0) & (F.col("n_pred") == 0)
@@ -257,20 +258,52 @@ def submission_profile(spine: DataFrame, preds: DataFrame) -> DataFrame:
     return got.select("*", F.round(mean, 6).alias("mean_matches"), F.when((empty > 0.40) | (empty < 0.01) | (mean > 4.5) | (mean < 0.5), "WARNING").otherwise("NORMAL").alias("verdict"))
 
 
-def error_causes(links: DataFrame, preds: DataFrame, features: DataFrame) -> DataFrame:
+#: Words whose agreement says little.
+WEAK_WORDS = "solutions enterprises services industries holdings group".split()
+
+
+def error_causes(links: DataFrame, preds: DataFrame, records: DataFrame) -> DataFrame:
     """False positives and negatives by their likely cause, with each cause's share of its kind."""
     true, said = links.select("s1_id", "target_id", F.lit(True).alias("y")), preds.select("s1_id", "target_id", F.lit(True).alias("p"))
-    rows = true.join(said, ["s1_id", "target_id"], "full_outer").where("y IS NULL OR p IS NULL")
-    rows = rows.withColumn("kind", F.when(F.col("y").isNull(), "FP").otherwise("FN")).join(features, ["s1_id", "target_id"], "left")
-    cause = (
-        F.when(F.col("name_token_jaccard").isNull(), "blocking_miss")
-        .when((F.col("kind") == "FP") & (F.col("name_exact_clean") == 1), "same_name_other_entity")
-        .when((F.col("kind") == "FP") & (F.col("name_token_jaccard") >= 0.5), "similar_name")
-        .when(F.col("kind") == "FP", "weak_evidence")
-        .when(F.col("is_cross_script_pair") == 1, "cross_script")
-        .when(F.col("addr_is_missing_either") == 1, "address_missing")
-        .when(F.col("name_token_jaccard") < 0.5, "name_variation")
-        .otherwise("under_threshold")
+    rows = true.join(said, ["s1_id", "target_id"], "full_outer").where("y IS NULL OR p IS NULL").withColumn("kind", F.when(F.col("y").isNull(), "FP").otherwise("FN"))
+    # every record once: what the causes need of it
+    plain = records.select("entity_id", F.coalesce("business_name", F.lit("")).alias("name"), F.coalesce("business_address", F.lit("")).alias("address"))
+    plain = plain.select("*", t.has_indic("name").alias("indic"), t.tokens(t.standard_clean("name")).alias("words"), F.get(t.numeric_tokens("address"), 0).alias("number"))
+    side = lambda p, key: plain.select(F.col("entity_id").alias(key), *[F.col(c).alias(f"{p}_{c}") for c in plain.columns[1:]])
+    rows = rows.join(side("q", "s1_id"), "s1_id").join(side("t", "target_id"), "target_id")
+    q, s = (lambda c: F.col(f"q_{c}")), (lambda c: F.col(f"t_{c}"))
+    dotted = q("name").contains(".") | s("name").contains(".")
+    head = lambda c: F.lower(F.substring_index(c, ".", 1))
+    weak = F.size(F.array_except(F.array_intersect(q("words"), s("words")), F.array(*map(F.lit, WEAK_WORDS)))) == 0
+    few = lambda c: F.size(F.filter(F.split(t.collapse(c), " "), lambda w: w != "")) < 3
+    positive = (
+        F.when(q("indic") != s("indic"), "cross_script")
+        .when(dotted & (head(q("name")) == head(s("name"))), "domain_collision")
+        .when((q("number") == s("number")) & (F.lower(q("name")) != F.lower(s("name"))), "commercial_cluster")
+        .when(weak, "generic_tokens")
+        .otherwise("high_lexical_similarity")
+    )
+    negative = (
+        F.when(q("indic") | s("indic"), "cross_script_target")
+        .when((q("address") == "") | (s("address") == ""), "address_missing")
+        .when(few(q("address")) | few(s("address")), "address_truncated")
+        .when(dotted, "domain_alias")
+        .otherwise("name_transformation")
     )
-    counts = rows.withColumn("cause", cause).groupBy("kind", "cause").agg(F.count("*").alias("n"))
+    counts = rows.withColumn("cause", F.when(F.col("kind") == "FP", positive).otherwise(negative)).groupBy("kind", "cause").agg(F.count("*").alias("n"))
     return counts.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("kind")), 6))
+
+
+def arm_report(spine: DataFrame, links: DataFrame, scored: DataFrame, preds: DataFrame) -> DataFrame:
+    """One row: the macro measures of preds, pair quality, recall among the k best, margins, and the
+    threshold with the best macro F0.5 (the least of equal ones)."""
+    label = scored.join(links.select("s1_id", "target_id", F.lit(1).alias("label")), ["s1_id", "target_id"], "left").na.fill(0, ["label"])
+    ranks = ranking_quality(links, scored)
+    at = ranks.agg(*[F.max(F.when(F.col("k") == k, F.col("recall"))).alias(f"recall_at_{k}") for k in (1, 3, 5, 10)])
+    sweep = threshold_sweep(spine, links, scored).agg(F.max(F.struct("macro_f05", (-F.col("threshold")).alias("t"))).alias("b"))
+    best = sweep.select((-F.col("b.t")).alias("best_threshold"), F.col("b.macro_f05").alias("best_macro_f05"))
+    parts = [macro(entity_scores(spine, links, preds)), pair_quality(label), at, rank_margin(scored), best]
+    rows = parts[0].withColumn("one", F.lit(1))
+    for part in parts[1:]:
+        rows = rows.join(part.withColumn("one", F.lit(1)), "one")
+    return rows.drop("one")

@@ -50,7 +50,8 @@ def document_terms(docs: DataFrame, text: Column, ngrams: tuple[int, int] = (1,
     """id, term, tf."""
     if analyzer == "char":
         s = F.regexp_replace(F.lower(text), r"\s\s+", " ")
-        pieces = [F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(s, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in range(ngrams[0], ngrams[1] + 1)]
+        grams_of = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, F.lit(n)))
+        pieces = [F.when(F.length(s) >= n, grams_of(n)).otherwise(F.array().cast("array<string>")) for n in range(ngrams[0], ngrams[1] + 1)]
         return docs.select(F.col(id_col).alias("id"), F.explode(F.concat(*pieces)).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     words = docs.select(F.col(id_col).alias("id"), F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)).alias("w"))
     grams = []

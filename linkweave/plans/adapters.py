@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,12 +10,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents_as_records(docs: DataFrame) -> DataFrame:
-    """Three sources by id, the first six words as name, source and length as address."""
+def documents_as_records(docs: DataFrame, name: Column | None = None) -> DataFrame:
+    """Three sources by id, name or the first six words of the first line as name, source and length as
+    address: pairs are of records with short names, as the operators expect."""
     first = F.split(F.substring_index("text", "\n", 1), " ")
     return docs.select(
         F.concat(F.lit("S"), (1 + F.col("doc_id") % 3).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("entity_id"),
-        F.array_join(F.slice(first, 1, 6), " ").alias("business_name"),
+        (F.array_join(F.slice(first, 1, 6), " ") if name is None else name).alias("business_name"),
         F.concat_ws(" ", "source", F.col("n_chars").cast("string")).alias("business_address"),
         F.col("lang").alias("country"),
     )

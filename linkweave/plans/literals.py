@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import blocking
+from ..operators import blocking, features, metrics
 from ..operators.records import enrich, queries_of, targets_of
 
 _CASES = {
@@ -64,3 +64,56 @@ QUERIES["b13_cross_script_literals"] = _blocked(*blocking.cross_script())
 ORACLES["b13_cross_script_literals"] = _table("block, s1_id, target_id", [("indic_address", "S1-1", "S2-1"), ("transliteration", "S1-1", "S2-1"), ("transliteration", "S1-1", "S2-2")])
 QUERIES["b15_leetspeak_literals"] = _blocked(blocking.leetspeak_block())
 ORACLES["b15_leetspeak_literals"] = _table("block, s1_id, target_id", [("leetspeak", "S1-2", "S3-2")])
+
+_PLACES = [
+    ("S1-1", "Acme Tools Ltd", "Plot 7, Delhi 110059", "India"), ("S2-1", "Acme Works", "Delhi 110059", "India"), ("S3-1", "Other Works", "12 Main 110059", "India"),
+    ("S1-2", "Beta", "Paris 75001", "France"), ("S2-2", "Beta SARL", "75001 Paris", "France"), ("S3-2", "Beta", "Paris 7500", "France"), ("S3-3", "Beta", "75001", "US"),
+]
+_PLACE_LINKS = [("S1-1", "S2-1"), ("S1-2", "S3-2"), ("S1-2", "S2-2")]
+
+
+def _placed(make):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = enrich(spark.createDataFrame(_PLACES, "entity_id string, business_name string, business_address string, country string"))
+        return make(spark, queries_of(rows), targets_of(rows))
+
+    return run
+
+
+QUERIES["b6_postal_literals"] = _placed(lambda spark, q, t: blocking.candidates(q, t, [blocking.postal_code()]))
+ORACLES["b6_postal_literals"] = _table("s1_id, target_id", [("S1-1", "S2-1"), ("S1-1", "S3-1"), ("S1-2", "S2-2"), ("S1-2", "S3-3")])
+QUERIES["b7_name_postal_literals"] = _placed(lambda spark, q, t: blocking.candidates(q, t, [blocking.name_postal()]))
+ORACLES["b7_name_postal_literals"] = _table("s1_id, target_id", [("S1-1", "S2-1"), ("S1-2", "S2-2")])
+QUERIES["j3_misses_literals"] = _placed(lambda spark, q, t: metrics.missed(spark.createDataFrame(_PLACE_LINKS, "s1_id string, target_id string"), blocking.candidates(q, t, [blocking.postal_code()])))
+ORACLES["j3_misses_literals"] = _table("s1_id, target_id", [("S1-2", "S3-2")])
+
+_ISOLATED = [
+    ("S1-1", "Acme Widgets Global LLC", "100 Innovation Way", "US"), ("S1-2", "Bharat Bio Solutions Ltd", "45 Gandhi Road", "IN"), ("S1-3", "Cyberdyne Systems France SAS", "12 Rue de Paris", "FR"),
+    ("S2-1", "Acme Widgets Global", "100 Innovation Way", "US"), ("S3-2", "Bharat Bio Solutions", "45 Gandhi Road", "IN"), ("S2-3", "Cyberdyne Systems France", "12 Rue de Paris", "FR"), ("S3-9", "Totally Unrelated Bakery", "99 Market Street", "US"),
+]
+
+
+def _isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each query finds its own target and no other's, in a run with the others as alone."""
+    rows = enrich(spark.createDataFrame(_ISOLATED, "entity_id string, business_name string, business_address string, country string"))
+    return blocking.candidates(queries_of(rows), targets_of(rows), [blocking.exact_name(), blocking.sorted_name()])
+
+
+QUERIES["v5_query_isolation"] = _isolation
+ORACLES["v5_query_isolation"] = _table("s1_id, target_id", [("S1-1", "S2-1"), ("S1-2", "S3-2"), ("S1-3", "S2-3")])
+
+# one pair with known values of all 43 features
+_GOLDEN = [("S1-A", "Acme Widgets Global", "123 Main St", "US"), ("S2-B", "Acme Widgets Global", "123 Main Street", "US")]
+_GOLDEN_VALUES = [1.0] * 10 + [0.0, 0.5, 0.666667, 0.797724, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 3.0, 5.0, 3.0, 1.0, 1.0, 0.0, 0.0, 1.0, 1.0, 0.88, 1.0, 0.5, 0.5, 1.0, 1.386294]
+
+
+def _golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = enrich(spark.createDataFrame(_GOLDEN, "entity_id string, business_name string, business_address string, country string"))
+    pair = spark.sql("""SELECT 'S1-A' AS s1_id, 'S2-B' AS target_id, true AS exact_name, true AS sorted_name, false AS name_numeric, false AS char_ngram, true AS domain,
+      true AS tfidf, 0.88D AS tfidf_score, 1 AS tfidf_rank, 3 AS support_count""")
+    got = features.pair_features(pair, rows)
+    return got.select(F.posexplode(F.array(*[F.round(F.col(n).cast("double"), 6) for n in features.FEATURES])).alias("k", "value"))
+
+
+QUERIES["g24_golden_features"] = _golden
+ORACLES["g24_golden_features"] = "SELECT k, CAST(value AS DOUBLE) AS value FROM (" + _table("k, value", list(enumerate(_GOLDEN_VALUES))) + ")"

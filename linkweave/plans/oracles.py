@@ -41,6 +41,13 @@ def _cte(name: str, sql: str, *needs: str) -> None:
 
 _cte("rec", f"""SELECT {_ID} AS entity_id, array_to_string(list_slice(string_split(split_part(text, chr(10), 1), ' '), 1, 6), ' ') AS business_name,
   source || ' ' || CAST(n_chars AS VARCHAR) AS business_address, lang AS country, md5(text) AS h FROM documents""")
+# whole texts as names
+_cte("txt", f"SELECT {_ID} AS entity_id, text AS business_name, source || ' ' || CAST(n_chars AS VARCHAR) AS business_address FROM documents")
+_cte("txt_clean", f"SELECT *, {_clean('business_name')} AS clean_name, {_clean('business_address')} AS address FROM txt", "txt")
+_cte("txt_name", f"SELECT *, list_filter({_words('clean_name')}, lambda w: NOT list_contains({_list(LEGAL_FORMS)}, w)) AS name_tokens FROM txt_clean", "txt_clean")
+_cte("te", f"""SELECT *, array_to_string(name_tokens, ' ') AS name, array_to_string(name_tokens, '') AS compact, array_to_string(list_sort(name_tokens), ' ') AS sorted_name,
+  CASE WHEN len(list_filter(name_tokens, lambda w: length(w) >= 3 AND NOT list_contains({_list(GENERIC_WORDS)}, w))) > 0
+    THEN list_filter(name_tokens, lambda w: length(w) >= 3 AND NOT list_contains({_list(GENERIC_WORDS)}, w)) ELSE name_tokens END AS informative FROM txt_name""", "txt_name")
 _cte("cleaned", f"SELECT *, {_clean('business_name')} AS clean_name, {_clean('business_address')} AS address FROM rec", "rec")
 _cte("named", f"SELECT *, array_to_string(list_filter({_words('clean_name')}, lambda w: NOT list_contains({_list(LEGAL_FORMS)}, w)), ' ') AS name FROM cleaned", "cleaned")
 _cte("full_rec", rf"""SELECT *, {_words('name')} AS name_tokens, array_to_string(list_sort({_words('name')}), ' ') AS sorted_name, replace(name, ' ', '') AS compact,
@@ -76,9 +83,9 @@ _EACH = "list_transform(list_distinct({field}), lambda p: {first} || '::' || p)"
 _DOMAIN = "[CASE WHEN length(domain) >= {n} THEN domain ELSE '' END]"
 _PLACE = "coalesce(postals[1], address_tokens[-1])"
 
-_cte("b1", _block("[name]", cap=100), "q", "t")
-_cte("b2", _block("[sorted_name]", cap=100), "q", "t")
-_cte("b4", _block(_BOUNDARY, cap=100), "q", "t")
+_cte("b1", _block("[name]", cap=1000), "q", "t")
+_cte("b2", _block("[sorted_name]", cap=1000), "q", "t")
+_cte("b4", _block(_BOUNDARY, cap=1000), "q", "t")
 _cte("b4_all", _block(_BOUNDARY), "q", "t")
 _cte("b5", _block("[CASE WHEN address <> '' THEN upper(country) || '::' || address ELSE '' END]", cap=1000), "q", "t")
 _cte("b6", _block("postals", cap=2000), "q", "t")
@@ -143,6 +150,16 @@ _tfidf(20_000, "")
 _tfidf(15_000, "15")
 
 
+_cte("char_text", r"SELECT entity_id AS id, regexp_replace(lower(concat_ws(' ', name, address)), '\s\s+', ' ', 'g') AS s FROM e", "e")
+_cte("char_grams", "SELECT id, term, count(*) AS tf FROM (" + " UNION ALL ".join(f"SELECT id, unnest(list_transform(range(1, greatest(length(s) - {n - 2}, 1)), lambda i: substr(s, i, {n}))) AS term FROM char_text" for n in (3, 4)) + ") GROUP BY ALL", "char_text")
+_cte("char_vocab", """SELECT term, ln((1.0::DOUBLE + (SELECT n FROM n_t)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM char_grams WHERE id NOT LIKE 'S1-%' GROUP BY term
+  HAVING count(*) >= CASE WHEN (SELECT n FROM n_t) < 50 THEN 1 ELSE 2 END AND count(*) <= CASE WHEN (SELECT n FROM n_t) < 50 THEN 1 ELSE 0.5::DOUBLE END * (SELECT n FROM n_t) ORDER BY sum(tf) DESC, term LIMIT 50000""", "char_grams", "n_t")
+_cte("char_raw", "SELECT id, g.term, (1.0::DOUBLE + ln(tf)) * idf AS w FROM char_grams g JOIN char_vocab v ON g.term = v.term", "char_grams", "char_vocab")
+_cte("char_vec", "SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM char_raw", "char_raw")
+_cte("char_top", """SELECT *, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY score DESC, target_id) AS INTEGER) AS rank FROM (
+  SELECT a.id AS s1_id, b.id AS target_id, round(sum(a.w * b.w), 6) AS score FROM char_vec a JOIN char_vec b ON a.term = b.term AND a.id LIKE 'S1-%' AND b.id NOT LIKE 'S1-%' GROUP BY ALL) WHERE score > 0""", "char_vec")
+
+
 def sql(body: str, *needs: str) -> str:
     """body with the tables it needs in front, in order."""
     order: list[str] = []
@@ -165,26 +182,26 @@ def _oracle(name: str, body: str, *needs: str) -> None:
     ORACLES[name] = sql(body, *needs)
 
 
-def _value(name: str, expression: str, source: str = "e") -> None:
+def _value(name: str, expression: str, source: str = "te") -> None:
     _oracle(name, f"SELECT entity_id, {expression} AS value FROM {source}", source)
 
 
-def _joined(name: str, expression: str, source: str = "e") -> None:
+def _joined(name: str, expression: str, source: str = "te") -> None:
     _value(name, f"coalesce(array_to_string({expression}, ','), '')", source)
 
 
-_value("n1_normalize_unicode", "nfc_normalize(business_name)", "rec")
-_value("n2_normalize_whitespace", r"trim(regexp_replace(business_name, '\s+', ' ', 'g'))", "rec")
-_value("n3_normalize_case", "lower(business_name)", "rec")
-_value("n4_remove_punctuation", r"regexp_replace(business_name, '[^\p{L}\p{N}_\s]', ' ', 'g')", "rec")
-_value("n5_normalize_alphanumeric", r"trim(regexp_replace(regexp_replace(business_name, '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))", "rec")
+_value("n1_normalize_unicode", "nfc_normalize(business_name)", "txt")
+_value("n2_normalize_whitespace", r"trim(regexp_replace(business_name, '\s+', ' ', 'g'))", "txt")
+_value("n3_normalize_case", "lower(business_name)", "txt")
+_value("n4_remove_punctuation", r"regexp_replace(business_name, '[^\p{L}\p{N}_\s]', ' ', 'g')", "txt")
+_value("n5_normalize_alphanumeric", r"trim(regexp_replace(regexp_replace(business_name, '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))", "txt")
 _value("n6_standard_clean", "clean_name")
-_value("a1_is_address_missing", "trim(business_address) = ''", "rec")
-_joined("a2_address_tokens", "address_tokens")
-_joined("a3_postal_codes", "postals")
-_joined("a4_numeric_tokens", "numbers")
-_value("a5_sorted_address", "array_to_string(list_sort(address_tokens), ' ')")
-_joined("a6_numeric_compounds", "plots")
+_value("a1_is_address_missing", "trim(business_address) = ''", "txt")
+_joined("a2_address_tokens", "address_tokens", "e")
+_joined("a3_postal_codes", "postals", "e")
+_joined("a4_numeric_tokens", "numbers", "e")
+_value("a5_sorted_address", "array_to_string(list_sort(address_tokens), ' ')", "e")
+_joined("a6_numeric_compounds", "plots", "e")
 _joined("m1_name_tokens", _words("clean_name"))
 _value("m2_strip_legal", "name")
 _value("m3_sorted_name", "sorted_name")
@@ -192,10 +209,32 @@ _joined("m4_char_ngrams", "CASE WHEN compact = '' THEN [] WHEN length(compact) <
 _joined("m5_token_ngrams", "CASE WHEN len(name_tokens) = 0 THEN [] WHEN len(name_tokens) = 1 THEN name_tokens ELSE list_transform(range(1, len(name_tokens)), lambda i: name_tokens[i] || ' ' || name_tokens[i + 1]) END")
 _joined("m6_informative_tokens", "informative")
 ORACLES["d1_domain_words"] = f"SELECT page_id, {_domain('url')} AS value FROM pages"
-_value("d2_domain_signature", _signature("business_name", 5), "rec")
-_value("l1_strip_accents", "strip_accents(business_name)", "rec")
-_value("t1_has_indic", r"regexp_matches(business_name, '[\x{0900}-\x{0D7F}]')", "rec")
-_value("t3_indic_signature", "''", "rec")
+_value("d2_domain_signature", _signature("business_name", 5), "txt")
+_value("l1_strip_accents", "strip_accents(business_name)", "txt")
+_value("t1_has_indic", r"regexp_matches(business_name, '[\x{0900}-\x{0D7F}]')", "txt")
+_value("t3_indic_signature", "''", "txt")
+
+
+
+def _leet(c: str) -> str:
+    """Zeros and fives within or at the edge of words as letters; neighbours are matched and put back, twice for those shared."""
+    out = f"strip_accents(lower({c}))"
+    for digit, letter in (("0", "o"), ("5", "s")):
+        for find, put in ((f"([a-z]){digit}([a-z])", rf"\1{letter}\2"), (rf"([a-z]){digit}([^\p{{L}}\p{{N}}_]|$)", rf"\1{letter}\2"), (rf"(^|[^\p{{L}}\p{{N}}_]){digit}([a-z]{{2}})", rf"\1{letter}\2")):
+            for _ in range(2):
+                out = f"regexp_replace({out}, '{find}', '{put}', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({out}, '[-_.]+', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+def _leet_signature(c: str, least: int) -> str:
+    joined = f"array_to_string(regexp_extract_all({_leet(c)}, '[a-z0-9]+'), '')"
+    return f"CASE WHEN length({joined}) >= {least} THEN {joined} ELSE '' END"
+
+
+_value("l2_leetspeak_text", _leet("business_name"), "txt")
+_value("l3_leetspeak_signature", _leet_signature("business_name", 4), "txt")
+# no text has Brahmic letters: t1 shows it, so the rest of the definition is left
+_value("t2_transliterate", r"trim(regexp_replace(regexp_replace(lower(business_name), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g'))", "txt")
 
 _NAMES = "FROM b4_all p JOIN q a ON p.s1_id = a.entity_id JOIN t b ON p.target_id = b.entity_id"
 _ascii = lambda c: f"regexp_replace(strip_accents({c}), '[^ -~]', '?', 'g')"
@@ -211,17 +250,41 @@ _oracle("sim2_ngram_cosine", f"""SELECT s1_id, target_id, round(CASE WHEN a.name
 
 for _name, _table in {"b1_exact_name": "b1", "b2_sorted_token": "b2", "b4_char_boundary": "b4", "b5_exact_address": "b5", "b6_postal_code": "b6", "b7_name_postal": "b7", "b8_name_number": "b8", "b12_informative_number": "b12", "b14_domain": "b14", "b16_alias": "b16"}.items():
     _oracle(_name, f"SELECT s1_id, target_id FROM {_table}", _table)
-_EMPTY = "SELECT entity_id AS s1_id, entity_id AS target_id FROM rec WHERE false"
-_oracle("b13_cross_script", _EMPTY, "rec")
+_INDIC = r"regexp_matches({c}, '[\x{{0900}}-\x{{0D7F}}]')"
+_PLACE_OR = "coalesce(postals[1], address_tokens[-1], 'addr')"
+_IN = f"list_transform(list_distinct(plots), lambda p: 'IN::' || {_PLACE_OR} || '::' || p)"
+_cte("b13_address", _block(f"CASE WHEN upper(country) IN ('IN', 'INDIA') THEN {_IN} ELSE [] END", f"CASE WHEN {_INDIC.format(c='business_name')} THEN {_IN} ELSE [] END"), "q", "t")
+# a target without Brahmic letters has no romanised prefix
+_cte("b13_prefix", _block("[CASE WHEN length(domain) >= 5 THEN left(domain, 5) ELSE '' END]", f"[CASE WHEN {_INDIC.format(c='business_name')} THEN left(domain, 5) ELSE '' END]"), "q", "t")
+_oracle("b13_cross_script", "SELECT * FROM b13_address UNION SELECT * FROM b13_prefix", "b13_address", "b13_prefix")
+_cte("leet_keys", f"SELECT entity_id, {_leet_signature('business_name', 4)} AS leet, domain FROM e", "e")
+_cte("b15", "SELECT DISTINCT a.entity_id AS s1_id, b.entity_id AS target_id FROM leet_keys a JOIN leet_keys b ON a.leet = b.leet AND a.leet <> '' AND a.leet <> a.domain AND a.entity_id LIKE 'S1-%' AND b.entity_id NOT LIKE 'S1-%'", "leet_keys")
+_oracle("b15_leetspeak", "SELECT s1_id, target_id FROM b15", "b15")
 _cte("rare_words", "SELECT entity_id, token, pos FROM (SELECT entity_id, unnest(name_tokens) AS token, generate_subscripts(name_tokens, 1) AS pos FROM e) WHERE length(token) >= 3", "e")
 _cte("rare_df", "SELECT token, count(DISTINCT entity_id) AS df FROM rare_words WHERE entity_id NOT LIKE 'S1-%' GROUP BY 1", "rare_words")
 _cte("rarest", "SELECT w.entity_id, w.token, d.df FROM rare_words w JOIN rare_df d ON w.token = d.token QUALIFY row_number() OVER (PARTITION BY w.entity_id ORDER BY d.df, w.pos) = 1", "rare_words", "rare_df")
 _oracle("b3_rare_token", """SELECT a.entity_id AS s1_id, b.entity_id AS target_id FROM rarest a JOIN (SELECT * FROM rarest WHERE entity_id NOT LIKE 'S1-%' AND df <= 1000
   QUALIFY row_number() OVER (PARTITION BY token ORDER BY entity_id) <= 500) b ON a.token = b.token WHERE a.entity_id LIKE 'S1-%'""", "rarest")
 _oracle("b9_sparse_tfidf", "SELECT s1_id, target_id, score, rank FROM top WHERE rank <= 25", "top")
+_oracle("b9_char_tfidf", "SELECT s1_id, target_id, score, rank FROM char_top WHERE rank <= 25", "char_top")
 _oracle("b10_ensemble", "SELECT s1_id, target_id FROM ens UNION SELECT s1_id, target_id FROM top15 WHERE rank <= 25", "ens", "top15")
 _oracle("b11_full_corpus", "SELECT s1_id, target_id FROM (SELECT * FROM ens QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY target_id) <= 500) UNION SELECT s1_id, target_id FROM top WHERE rank <= 25", "ens", "top")
-_oracle("b17_provenance", "SELECT * FROM prov", "prov")
+_oracle("b17_blocks_only", "SELECT * FROM prov", "prov")
+
+
+def _arm(name: str, k: int, more: dict[str, str]) -> None:
+    """Provenance of the first arm's blocks, of more blocks, and of the k best by TF-IDF."""
+    blocks = {"exact_name": "x_all", "sorted_name": "s_all", "name_numeric": "n_inf", "char_ngram": "b4_all", "domain": "d_all", **more}
+    rows = " UNION ALL ".join(f"SELECT s1_id, target_id, '{b}' AS b, NULL::DOUBLE AS score, NULL::INTEGER AS rank FROM {c}" for b, c in blocks.items())
+    flags = ", ".join(f"bool_or(b = '{b}') AS {b}" for b in ("exact_name", "sorted_name", "name_numeric", "char_ngram", "domain", "transliteration", "leetspeak", "tfidf"))
+    _cte(name, f"""SELECT s1_id, target_id, {flags}, coalesce(max(score), 0.0::DOUBLE) AS tfidf_score, coalesce(min(rank), 1000) AS tfidf_rank, CAST(count(DISTINCT b) AS INTEGER) AS support_count
+      FROM ({rows} UNION ALL SELECT s1_id, target_id, 'tfidf', score, rank FROM top WHERE rank <= {k}) GROUP BY s1_id, target_id""", "top", *blocks.values())
+
+
+_arm("prov40", 40, {})
+_arm("prov_c", 50, {"indic_address": "b13_address", "transliteration": "b13_prefix", "leetspeak": "b15"})
+_oracle("b17_provenance", "SELECT * FROM prov40", "prov40")
+_oracle("b17_arm_c", "SELECT * FROM prov_c", "prov_c")
 _FIRST = "SELECT s1_id, target_id FROM ({u}) QUALIFY row_number() OVER (PARTITION BY s1_id ORDER BY target_id) <= {n}"
 _oracle("b18_engine_retrieval", _FIRST.format(u="SELECT * FROM x_all UNION SELECT * FROM s_all UNION SELECT * FROM n_inf UNION SELECT * FROM d_all", n=50), "x_all", "s_all", "n_inf", "d_all")
 _oracle("b20_generator_retrieval", _FIRST.format(u="SELECT * FROM x_all UNION SELECT * FROM s_all UNION SELECT * FROM n_inf UNION SELECT * FROM b4_all", n=40), "x_all", "s_all", "n_inf", "b4_all")
@@ -232,7 +295,7 @@ _oracle("b19_bucket_skip", _FIRST.format(u="""SELECT DISTINCT a.entity_id AS s1_
   WHERE (SELECT count(*) FROM keys19 k WHERE k.b = a.b AND k.key = a.key AND k.entity_id LIKE 'S1-%') <= 30""", n=40), "keys19")
 ORACLES["b2_parts_heavy_buckets"] = f"""WITH r AS (SELECT 'S' || CAST(1 + p_partkey % 3 AS VARCHAR) || '-' || CAST(p_partkey AS VARCHAR) AS entity_id,
   array_to_string(list_sort(list_filter({_words(_clean('p_name'))}, lambda w: NOT list_contains({_list(LEGAL_FORMS)}, w))), ' ') AS key FROM part),
-t AS (SELECT * FROM r WHERE entity_id NOT LIKE 'S1-%' AND key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY entity_id) <= 10)
+t AS (SELECT * FROM r WHERE entity_id NOT LIKE 'S1-%' AND key <> '' QUALIFY row_number() OVER (PARTITION BY key ORDER BY entity_id) <= 1000)
 SELECT a.entity_id AS s1_id, t.entity_id AS target_id FROM r a JOIN t ON a.key = t.key WHERE a.entity_id LIKE 'S1-%'"""
 _oracle("j1_semi_join", "SELECT entity_id, business_name, business_address, country FROM rec WHERE entity_id IN (SELECT target_id FROM links)", "rec", "links")
 _oracle("j2_label_pairs", "SELECT s1_id, target_id, CAST(EXISTS (SELECT 1 FROM links l WHERE l.s1_id = b2.s1_id AND l.target_id = b2.target_id) AS INTEGER) AS label FROM b2", "b2", "links")
@@ -379,15 +442,43 @@ _oracle("g19_scaling_curve", "SELECT count(p.target_id) AS pairs, size FROM (SEL
 _cte("other_t", "SELECT entity_id, row_number() OVER (PARTITION BY left(entity_id, 2) ORDER BY entity_id) AS r FROM t WHERE entity_id NOT IN (SELECT target_id FROM links)", "t", "links")
 _cte("universe", "SELECT n, entity_id FROM (SELECT unnest([10, 100, 1000]) AS n) JOIN (SELECT entity_id, r FROM other_t UNION ALL SELECT DISTINCT target_id, 0 FROM links) ON r <= n", "other_t", "links")
 _oracle("g20_universes", """SELECT count(*) AS pairs, CAST(n AS INTEGER) AS per_source FROM (SELECT u.n, t.sorted_name AS key, t.entity_id FROM universe u JOIN t ON t.entity_id = u.entity_id WHERE t.sorted_name <> ''
-  QUALIFY row_number() OVER (PARTITION BY u.n, t.sorted_name ORDER BY t.entity_id) <= 100) x JOIN q ON q.sorted_name = x.key GROUP BY n""", "universe", "t", "q")
+  QUALIFY row_number() OVER (PARTITION BY u.n, t.sorted_name ORDER BY t.entity_id) <= 1000) x JOIN q ON q.sorted_name = x.key GROUP BY n""", "universe", "t", "q")
 _cte("said", "SELECT s.s1_id, count(m.target_id) AS n, count(*) FILTER (WHERE target_id LIKE 'S2-%') AS s2, count(*) FILTER (WHERE target_id LIKE 'S3-%') AS s3 FROM spine s LEFT JOIN margin m ON s.s1_id = m.s1_id GROUP BY 1", "spine", "margin")
 _oracle("g21_submission_profile", """SELECT *, round(matches::DOUBLE / entities, 6) AS mean_matches, CASE WHEN n_0::DOUBLE / entities > 0.4::DOUBLE OR n_0::DOUBLE / entities < 0.01::DOUBLE OR matches::DOUBLE / entities > 4.5::DOUBLE OR matches::DOUBLE / entities < 0.5::DOUBLE THEN 'WARNING' ELSE 'NORMAL' END AS verdict
   FROM (SELECT count(*) AS entities, count(*) FILTER (WHERE n = 0) AS n_0, count(*) FILTER (WHERE n = 1) AS n_1, count(*) FILTER (WHERE n = 2) AS n_2, count(*) FILTER (WHERE n = 3) AS n_3, count(*) FILTER (WHERE n > 3) AS n_more,
   CAST(sum(n) AS BIGINT) AS matches, CAST(sum(s2) AS BIGINT) AS s2_targets, CAST(sum(s3) AS BIGINT) AS s3_targets, CAST(sum(n - s2 - s3) AS BIGINT) AS bad_prefix FROM said)""", "said")
 _oracle("g22_output_by_country", "SELECT coalesce(country, 'all') AS country, coalesce(ts, 'all') AS target_source, count(*) AS n, count(DISTINCT s1_id) AS entities FROM (SELECT m.s1_id, r.country, left(m.target_id, 2) AS ts FROM margin m JOIN rec r ON m.s1_id = r.entity_id) GROUP BY CUBE (country, ts)", "margin", "rec")
+_cte("wrong", """SELECT coalesce(l.s1_id, p.s1_id) AS s1_id, coalesce(l.target_id, p.target_id) AS target_id, CASE WHEN l.s1_id IS NULL THEN 'FP' ELSE 'FN' END AS kind
+  FROM links l FULL JOIN (SELECT * FROM scored WHERE score >= 0.5::DOUBLE) p ON l.s1_id = p.s1_id AND l.target_id = p.target_id WHERE l.s1_id IS NULL OR p.s1_id IS NULL""", "links", "scored")
+_WEAK = _list("solutions enterprises services industries holdings group".split())
+_HEAD = "lower(split_part({c}, '.', 1))"
+_cte("causes", f"""SELECT kind, CASE WHEN kind = 'FP' THEN CASE WHEN {_INDIC.format(c='a.business_name')} <> {_INDIC.format(c='b.business_name')} THEN 'cross_script'
+    WHEN (contains(a.business_name, '.') OR contains(b.business_name, '.')) AND {_HEAD.format(c='a.business_name')} = {_HEAD.format(c='b.business_name')} THEN 'domain_collision'
+    WHEN a.numbers[1] = b.numbers[1] AND lower(a.business_name) <> lower(b.business_name) THEN 'commercial_cluster'
+    WHEN len(list_filter({_words('a.clean_name')}, lambda w: list_contains({_words('b.clean_name')}, w) AND NOT list_contains({_WEAK}, w))) = 0 THEN 'generic_tokens' ELSE 'high_lexical_similarity' END
+  ELSE CASE WHEN {_INDIC.format(c='a.business_name')} OR {_INDIC.format(c='b.business_name')} THEN 'cross_script_target' WHEN a.business_address = '' OR b.business_address = '' THEN 'address_missing'
+    WHEN len({_words('a.business_address')}) < 3 OR len({_words('b.business_address')}) < 3 THEN 'address_truncated' WHEN contains(a.business_name, '.') OR contains(b.business_name, '.') THEN 'domain_alias' ELSE 'name_transformation' END END AS cause
+  FROM wrong w JOIN e a ON a.entity_id = w.s1_id JOIN e b ON b.entity_id = w.target_id""", "wrong", "e")
+_oracle("g23_error_causes", "SELECT kind, cause, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (PARTITION BY kind), 6) AS share FROM causes GROUP BY kind, cause", "causes")
 _oracle("g25_unseen_countries", "SELECT country, count(*) AS n, min(entity_id) AS example FROM rec WHERE country = 'de' GROUP BY 1", "rec")
 _oracle("v1_target_prefix", "SELECT s1_id, target_id FROM links", "links")
-_oracle("v3_verify_output", "SELECT count(*) AS predictions, count(DISTINCT s1_id) AS matched_entities, CAST(0 AS BIGINT) AS unknown_targets, CAST(0 AS BIGINT) AS unknown_entities, CAST(0 AS BIGINT) AS repeated, 'PASS' AS verdict FROM margin", "margin")
+_CARD = ", ".join(f"count(*) FILTER (WHERE n = {k}) AS cardinality_{k}" for k in range(4))
+_cte("said_n", "SELECT s.s1_id, count(m.target_id) AS n FROM spine s LEFT JOIN margin m ON s.s1_id = m.s1_id GROUP BY 1", "spine", "margin")
+_oracle("v3_verify_output", f"""SELECT * FROM (SELECT count(*) AS predictions, count(DISTINCT s1_id) AS matched_entities, count(*) FILTER (WHERE target_id LIKE 'S2-%') AS s2_links, count(*) FILTER (WHERE target_id LIKE 'S3-%') AS s3_links,
+  count(*) FILTER (WHERE target_id NOT LIKE 'S2-%' AND target_id NOT LIKE 'S3-%') AS wrong_prefix, count(*) FILTER (WHERE target_id NOT IN (SELECT entity_id FROM t)) AS unknown_targets,
+  count(*) FILTER (WHERE s1_id NOT IN (SELECT s1_id FROM spine)) AS unknown_entities, count(*) - count(DISTINCT s1_id || '|' || target_id) AS repeated, 'PASS' AS verdict FROM margin),
+  (SELECT count(*) AS entities, {_CARD}, count(*) FILTER (WHERE n > 3) AS cardinality_more FROM said_n)""", "margin", "said_n", "t", "spine")
+_oracle("v5_id_round_trip", "SELECT (SELECT count(*) FROM links) AS ids, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS changed, count(*) AS targets, count(*) FILTER (WHERE NOT regexp_matches(entity_id, '^S[23]-')) AS wrong_prefix, 'PASS' AS verdict FROM t", "links", "t")
+_cte("sent", """SELECT s1_id, string_agg(target_id, ',' ORDER BY target_id) AS matches FROM links WHERE s1_id <> 'S1-0' GROUP BY 1 UNION ALL SELECT s1_id, '' FROM spine WHERE s1_id <> 'S1-0' AND s1_id NOT IN (SELECT s1_id FROM links)
+  UNION ALL SELECT entity_id, entity_id || ',X9-1,S2-1,S2-1' FROM rec WHERE country = 'de' AND entity_id LIKE 'S1-%'""", "links", "spine", "rec")
+_cte("sent_each", "SELECT s1_id, trim(unnest(string_split(matches, ','))) AS m FROM sent", "sent")
+_cte("broken", """SELECT 'duplicate_row' AS rule, s1_id AS x FROM sent GROUP BY s1_id HAVING count(*) > 1
+  UNION ALL SELECT 'duplicate_match', s1_id || ':' || m FROM sent_each WHERE m <> '' GROUP BY s1_id, m HAVING count(*) > 1
+  UNION ALL SELECT 'self_match', s1_id || ':' || m FROM sent_each WHERE m LIKE 'S1-%'
+  UNION ALL SELECT 'wrong_prefix', s1_id || ':' || m FROM sent_each WHERE m <> '' AND NOT regexp_matches(m, '^S[123]-')
+  UNION ALL SELECT 'missing_entity', s1_id FROM spine WHERE s1_id NOT IN (SELECT s1_id FROM sent)
+  UNION ALL SELECT 'unknown_entity', s1_id FROM sent WHERE s1_id NOT IN (SELECT s1_id FROM spine)""", "sent", "sent_each", "spine")
+_oracle("v2_submission_validator", """SELECT rule, count(*) AS n, string_agg(x, ',' ORDER BY x) FILTER (WHERE r <= 5) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY rule ORDER BY x) AS r FROM broken) GROUP BY rule""", "broken")
 _oracle("v4_leakage", "SELECT CAST(0 AS BIGINT) AS overlap, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS added, count(*) FILTER (WHERE part = 'train') AS train, count(*) FILTER (WHERE part = 'validation') AS validation, true AS clean FROM split", "split")
 ORACLES["v6_feature_parity"] = sql("SELECT count(*) AS pairs, CAST(0 AS DOUBLE) AS max_abs_diff FROM prov", "prov")
 
@@ -460,5 +551,35 @@ _F = {
     "inter_name_jaccard_x_country": f"({_jaccard('qt', 'tt')}) * CAST((qc <> '' AND upper(qc) = upper(tc)) AS INTEGER)::DOUBLE",
     "inter_support_x_name_jaccard": f"ln(1.0::DOUBLE + support_count) * ({_jaccard('qt', 'tt')})",
 }
-# the checking engine's edit distance counts bytes: this one feature is left to the tests
+# the checking engine's edit distance counts bytes: every other letter of names becomes one that cleaned
+# names lack
+_WIDE = "".join(chr(c) for c in range(0xDF, 0x100) if c != 0xF7) + "œ"
+_NARROW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "!#$%&()"
+_narrow = lambda c: f"translate(left({c}, 50), '{_WIDE}', '{_NARROW}')"
+_EDIT = f"""CASE WHEN qn = tn THEN 1.0::DOUBLE WHEN qn = '' OR tn = '' THEN 0.0::DOUBLE
+  ELSE 1.0::DOUBLE - levenshtein({_narrow('qn')}, {_narrow('tn')})::DOUBLE / greatest(length(left(qn, 50)), length(left(tn, 50))) END"""
 _oracle("f1_pair_features", "SELECT s1_id, target_id, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in _F.items()) + " FROM fsides", "fsides", "nm_n", "nm_d", "ad_n", "ad_d")
+_ALL = {**dict(list(_F.items())[:5]), "name_edit_similarity": _EDIT, **dict(list(_F.items())[5:])}
+_oracle("f1_43_pair_features", "SELECT s1_id, target_id, " + ", ".join(f"round({e}, 6) AS {n}" for n, e in _ALL.items()) + " FROM fsides", "fsides", "nm_n", "nm_d", "ad_n", "ad_d")
+_cte("f_all", "SELECT " + ", ".join(f"{e} AS {n}" for n, e in _ALL.items()) + " FROM fsides", "fsides", "nm_n", "nm_d", "ad_n", "ad_d")
+_oracle("f_matrix_sanitized", "SELECT " + ", ".join(f"round(sum({n}), 3) AS {n}" for n in _ALL) + " FROM f_all", "f_all")
+
+# the whole first arm: the same chain from pairs to measures over its own provenance
+_SIDES = CTES["sides"][0].replace("FROM prov p", "FROM prov40 p")
+_cte("sides40", _SIDES, "prov40", "q", "t")
+for _name, _from in {"scored": "sides", "best": "scored", "margin": "best", "per": "margin", "f05": "per", "lab": "scored", "by_score": "lab", "steps": "by_score", "ranks": "lab"}.items():
+    _body, _needs = CTES[_name]
+    _body = _body.replace(f"FROM {_from}", f"FROM {_from}40").replace("FROM margin GROUP", "FROM margin40 GROUP").replace("FROM margin m", "FROM margin40 m").replace("JOIN by_score b", "JOIN by_score40 b")
+    _cte(f"{_name}40", _body, *[f"{n}40" if n == _from else n for n in _needs])
+_on40 = lambda body: body.replace("FROM f05", "FROM f0540").replace("FROM lab", "FROM lab40").replace("FROM steps", "FROM steps40").replace("FROM ranks", "FROM ranks40")
+_RANKS40 = """SELECT k, round(avg(coalesce(h::DOUBLE / n, 0.0::DOUBLE)), 6) AS recall FROM (SELECT g.k, u.s1_id, u.n, count(l.s1_id) AS h FROM (SELECT s1_id, count(*) AS n FROM links GROUP BY 1) u JOIN (SELECT unnest([1, 3, 5, 10]) AS k) g ON true
+  LEFT JOIN best40 b ON b.s1_id = u.s1_id AND b.rank <= g.k LEFT JOIN links l ON l.s1_id = b.s1_id AND l.target_id = b.target_id GROUP BY ALL) GROUP BY k"""
+_cte("at_k40", _RANKS40, "links", "best40")
+_cte("sweep40", f"""SELECT threshold, round(avg(CASE WHEN p + r > 0 THEN 1.25::DOUBLE * p * r / (0.25::DOUBLE * p + r) ELSE 0.0::DOUBLE END), 6) AS f FROM (SELECT *, {_P} AS p, {_R} AS r FROM (
+  SELECT g.threshold, s.s1_id, (SELECT count(*) FROM links l WHERE l.s1_id = s.s1_id) AS n_true, count(b.target_id) AS n_pred, coalesce(sum(b.y), 0) AS tp FROM spine s
+  JOIN (SELECT unnest([0.2::DOUBLE, 0.3::DOUBLE, 0.4::DOUBLE, 0.5::DOUBLE, 0.6::DOUBLE, 0.7::DOUBLE, 0.8::DOUBLE]) AS threshold) g ON true LEFT JOIN lab40 b ON b.s1_id = s.s1_id AND b.score >= g.threshold GROUP BY g.threshold, s.s1_id)) GROUP BY threshold""", "lab40", "spine", "links")
+_cte("two40", "SELECT s1_id, max(score) FILTER (WHERE rank = 1) AS a, max(score) FILTER (WHERE rank = 2) AS b FROM best40 GROUP BY 1", "best40")
+_oracle("g26_arm_evaluation", f"""SELECT * FROM ({_on40(_MACRO)}), ({_on40(_G5)}),
+  (SELECT {', '.join(f"max(recall) FILTER (WHERE k = {k}) AS recall_at_{k}" for k in (1, 3, 5, 10))} FROM at_k40),
+  (SELECT round(avg(a), 6) AS mean_top_score, round(avg(coalesce(b, 0.0::DOUBLE)), 6) AS mean_second_score, round(avg(a - coalesce(b, 0.0::DOUBLE)), 6) AS mean_score_margin FROM two40),
+  (SELECT threshold AS best_threshold, f AS best_macro_f05 FROM sweep40 ORDER BY f DESC, threshold LIMIT 1)""", "f0540", "lab40", "steps40", "ranks40", "at_k40", "two40", "sweep40")

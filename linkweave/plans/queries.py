@@ -30,6 +30,11 @@ class Linkage:
     def records(self) -> DataFrame:
         return adapters.documents_as_records(self.table("documents"))
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Whole texts as names: for what works record by record."""
+        return adapters.documents_as_records(self.table("documents"), F.col("text"))
+
     @cached_property
     def enriched(self) -> DataFrame:
         """Worked out once a query, however many sides and blocks read it."""
@@ -63,13 +68,22 @@ class Linkage:
 
     @cached_property
     def arm_b(self) -> DataFrame:
-        """Pairs of the first arm with provenance, without TF-IDF."""
+        """Pairs of the first arm's blocks with provenance."""
         return blocking.with_provenance(blocking.hits(self.q, self.t, blocking.arm_b_blocks()))
 
+    @cached_property
+    def arm_b_tfidf(self) -> DataFrame:
+        """The first arm whole: blocks and the 40 best by TF-IDF, one row a pair."""
+        return blocking.with_provenance(blocking.hits(self.q, self.t, blocking.arm_b_blocks()), tfidf.top_k(self.q, self.t, tfidf.TfidfParams(k=40)))
+
     @cached_property
     def feats(self) -> DataFrame:
         return features.pair_features(self.arm_b, self.with_grams)
 
+    @cached_property
+    def stored_feats(self) -> DataFrame:
+        return stored(self.feats, "features")
+
     @cached_property
     def scored(self) -> DataFrame:
         return models.DeterministicMatcher().transform(self.feats).select("s1_id", "target_id", "score")
@@ -108,6 +122,13 @@ def _listed(make):
 
 _CLEAN = lambda: t.standard_clean("business_name")
 _LEGAL = lambda: t.strip_legal(_CLEAN())
+
+
+def _of_names(make):
+    """Cleaned first: what follows calls functions within arrays, where a UDF can't be."""
+    return lambda rows: rows.select("entity_id", _LEGAL().alias("name")).select("entity_id", F.array_join(make(), ",").alias("value"))
+
+
 for _name, _make in {
     "n1_normalize_unicode": _of(lambda: t.nfkc(NAME)),
     "n2_normalize_whitespace": _of(lambda: t.collapse(NAME)),
@@ -132,12 +153,10 @@ for _name, _make in {
     "t1_has_indic": _of(lambda: t.has_indic("business_name")),
     "t2_transliterate": _of(lambda: t.romanised("business_name")),
     "t3_indic_signature": _of(lambda: t.indic_signature("business_name")),
+    "m4_char_ngrams": _of_names(lambda: t.char_ngrams(F.col("name"), 3)),
+    "m5_token_ngrams": _of_names(lambda: t.token_ngrams(t.tokens(F.col("name")), 2)),
 }.items():
-    _projection(_name, _make)
-
-
-_projection("m4_char_ngrams", _listed(lambda: t.char_ngrams(F.col("name"), 3)), "enriched")
-_projection("m5_token_ngrams", _listed(lambda: t.token_ngrams(F.col("name_tokens"), 2)), "enriched")
+    _projection(_name, _make, "texts")
 
 
 @query
@@ -166,9 +185,9 @@ def sim2_ngram_cosine(x):
 
 # candidate generation
 _BLOCKS = {
-    "b1_exact_name": lambda: [blocking.exact_name(100)],
-    "b2_sorted_token": lambda: [blocking.sorted_name(100)],
-    "b4_char_boundary": lambda: [blocking.char_boundary(4, 100)],
+    "b1_exact_name": lambda: [blocking.exact_name()],
+    "b2_sorted_token": lambda: [blocking.sorted_name()],
+    "b4_char_boundary": lambda: [blocking.char_boundary()],
     "b5_exact_address": lambda: [blocking.exact_address()],
     "b6_postal_code": lambda: [blocking.postal_code()],
     "b7_name_postal": lambda: [blocking.name_postal()],
@@ -193,6 +212,11 @@ def b9_sparse_tfidf(x):
     return tfidf.top_k(x.q, x.t, tfidf.TfidfParams(k=25)).select("s1_id", "target_id", "score", F.col("rank").cast("int").alias("rank"))
 
 
+@query
+def b9_char_tfidf(x):
+    return tfidf.top_k(x.q, x.t, tfidf.CHAR_PARAMS).select("s1_id", "target_id", "score", F.col("rank").cast("int").alias("rank"))
+
+
 @query
 def b10_ensemble(x):
     k = tfidf.top_k(x.q, x.t, tfidf.TfidfParams(k=25, max_features=15_000))
@@ -207,6 +231,11 @@ def b11_full_corpus(x):
 
 @query
 def b17_provenance(x):
+    return x.arm_b_tfidf
+
+
+@query
+def b17_blocks_only(x):
     return x.arm_b
 
 
@@ -234,7 +263,7 @@ def b20_generator_retrieval(x):
 @query
 def b2_parts_heavy_buckets(x):
     rows = enrich(adapters.parts_as_records(x.table("part")))
-    return blocking.candidates(queries_of(rows), targets_of(rows), [blocking.sorted_name(10)])
+    return blocking.candidates(queries_of(rows), targets_of(rows), [blocking.sorted_name()])
 
 
 @query
@@ -244,12 +273,12 @@ def j1_semi_join(x):
 
 @query
 def j2_label_pairs(x):
-    return sampling.label(x.pairs(blocking.sorted_name(100)), x.links)
+    return sampling.label(x.pairs(blocking.sorted_name()), x.links)
 
 
 @query
 def j3_blocking_misses(x):
-    return metrics.missed(x.links, x.pairs(blocking.sorted_name(100)))
+    return metrics.missed(x.links, x.pairs(blocking.sorted_name()))
 
 
 @query
@@ -291,13 +320,13 @@ def k5_score_floor(x):
 @query
 def k6_rank_defaults(x):
     got = tfidf.top_k(x.q, x.t, tfidf.TfidfParams(k=5))
-    rows = x.pairs(blocking.sorted_name(100)).join(got, ["s1_id", "target_id"], "left")
+    rows = x.pairs(blocking.sorted_name()).join(got, ["s1_id", "target_id"], "left")
     return rows.select("s1_id", "target_id", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("rank", F.lit(1000)).cast("int").alias("rank"))
 
 
 @query
 def k7_pair_tfidf(x):
-    return tfidf.pair_scores(x.pairs(blocking.sorted_name(100)), x.q, x.t)
+    return tfidf.pair_scores(x.pairs(blocking.sorted_name()), x.q, x.t)
 
 
 @query
@@ -310,30 +339,30 @@ def k8_top_k_sweep(x):
 # set operations
 @query
 def so1_union(x):
-    return sets.union(x.pairs(blocking.sorted_name(100)), x.pairs(blocking.char_boundary(4, 100)))
+    return sets.union(x.pairs(blocking.sorted_name()), x.pairs(blocking.char_boundary()))
 
 
 @query
 def so2_complementarity(x):
-    return sets.complementarity(x.links, x.pairs(blocking.sorted_name(100)), x.pairs(blocking.exact_address()))
+    return sets.complementarity(x.links, x.pairs(blocking.sorted_name()), x.pairs(blocking.exact_address()))
 
 
 @query
 def so3_union_quality(x):
-    pairs = sets.union(x.pairs(blocking.sorted_name(100)), x.pairs(blocking.exact_address()))
+    pairs = sets.union(x.pairs(blocking.sorted_name()), x.pairs(blocking.exact_address()))
     one = lambda d: d.withColumn("one", F.lit(1))
     return one(metrics.blocking_recall(x.links, pairs)).join(one(metrics.blocking_volume(x.spine, pairs, x.n_targets())), "one").drop("one")
 
 
 @query
 def so4_progressive_union(x):
-    stages = [("exact", blocking.exact_name(100)), ("sorted", blocking.sorted_name(100)), ("address", blocking.exact_address()), ("boundary", blocking.char_boundary(4, 100))]
+    stages = [("exact", blocking.exact_name()), ("sorted", blocking.sorted_name()), ("address", blocking.exact_address()), ("boundary", blocking.char_boundary())]
     return sets.progressive_union(x.spine, x.links, [(n, x.pairs(b)) for n, b in stages])
 
 
 @query
 def so5_configurations(x):
-    parts = {"exact": x.pairs(blocking.exact_name(100)), "address": x.pairs(blocking.exact_address()), "boundary": x.pairs(blocking.char_boundary(4, 100))}
+    parts = {"exact": x.pairs(blocking.exact_name()), "address": x.pairs(blocking.exact_address()), "boundary": x.pairs(blocking.char_boundary())}
     return sets.configurations(x.spine, x.links, parts, {"A": ["exact"], "B": ["exact", "address"], "C": ["exact", "address", "boundary"]})
 
 
@@ -358,7 +387,7 @@ def f1_43_pair_features(x):
 
 @query
 def f1_pair_features(x):
-    """The features another engine can check: all but the edit similarity, which it counts in bytes."""
+    """All features but the edit similarity, which another engine counts in bytes."""
     rows = x.feats
     return rows.select("s1_id", "target_id", *[F.round(c, 6).alias(c) for c in features.FEATURES if c != "name_edit_similarity"])
 
@@ -366,7 +395,7 @@ def f1_pair_features(x):
 @query
 def f_matrix_sanitized(x):
     rows = features.sanitized(x.feats)
-    return rows.agg(*[F.round(F.sum(c), 3).alias(c) for c in features.FEATURES[:10]])
+    return rows.agg(*[F.round(F.sum(c), 3).alias(c) for c in features.FEATURES])
 
 
 @query
@@ -382,24 +411,23 @@ def x1_deterministic_matcher(x):
 
 @query
 def x2_logistic_matcher(x):
-    train = sampling.label(x.feats, x.links).withColumn("label", F.col("label").cast("double"))
-    return models.LogisticMatcher(rounds=20).fit(train, features.FEATURES[:20])(x.feats).select("s1_id", "target_id", F.round("score", 4).alias("score"))
+    return models.LogisticMatcher().fit(_training(x), features.FEATURES)(x.stored_feats).select("s1_id", "target_id", F.round("score", 4).alias("score"))
 
 
 def _training(x: Linkage) -> DataFrame:
-    return sampling.label(x.feats, x.links).withColumn("label", F.col("label").cast("double"))
+    return sampling.label(x.stored_feats, x.links).withColumn("label", F.col("label").cast("double"))
 
 
 @query
 def x3_boosted_matcher(x):
-    model = models.BoostedMatcher(depth=4, trees=5).fit(_training(x), features.FEATURES[:20])
-    return model(x.feats).select("s1_id", "target_id", F.round("score", 4).alias("score"))
+    model = models.BoostedMatcher().fit(_training(x), features.FEATURES)
+    return model(x.stored_feats).select("s1_id", "target_id", F.round("score", 4).alias("score"))
 
 
 @query
 def x4_pairwise_ranker(x):
-    model = models.PairwiseRanker().fit(_training(x), features.FEATURES[:20])
-    return model(x.feats).select("s1_id", "target_id", F.round("score", 4).alias("score"))
+    model = models.PairwiseRanker().fit(_training(x), features.FEATURES)
+    return model(x.stored_feats).select("s1_id", "target_id", F.round("score", 4).alias("score"))
 
 
 @query
@@ -415,11 +443,11 @@ def x5_calibration(x):
 @query
 def x8_ablation(x):
     """Average precision of the logistic matcher on growing feature groups."""
-    groups = {g: names.split() for g, names in features.GROUPS.items() if g in ("name", "address", "country")}
-    train = _training(x).cache()
+    groups = {g: names.split() for g, names in features.GROUPS.items()}
+    train = _training(x)
     measure = lambda scored: metrics.pair_quality(sampling.label(scored.select("s1_id", "target_id", "score"), x.links)).select("average_precision")
     rows = None
-    for group, got in models.ablation(train, x.feats, groups, models.LogisticMatcher(rounds=10), measure).items():
+    for group, got in models.ablation(train, x.stored_feats, groups, models.LogisticMatcher(), measure).items():
         got = got.withColumn("upto", F.lit(group))
         rows = got if rows is None else rows.union(got)
     return rows
@@ -525,12 +553,12 @@ def p6_rescue_cascade(x):
 # aggregations
 @query
 def g1_blocking_recall(x):
-    return metrics.blocking_recall(x.links, x.pairs(blocking.sorted_name(100)))
+    return metrics.blocking_recall(x.links, x.pairs(blocking.sorted_name()))
 
 
 @query
 def g2_blocking_volume(x):
-    return metrics.blocking_volume(x.spine, x.pairs(blocking.sorted_name(100)), x.n_targets())
+    return metrics.blocking_volume(x.spine, x.pairs(blocking.sorted_name()), x.n_targets())
 
 
 _G = policy.RelativeMargin(0.6, 0.65, 0.10, 5)
@@ -586,12 +614,12 @@ def g11_error_decomposition(x):
 
 @query
 def g12_slice_recall(x):
-    return metrics.slice_recall(x.links, x.pairs(blocking.sorted_name(100)), x.records)
+    return metrics.slice_recall(x.links, x.pairs(blocking.sorted_name()), x.records)
 
 
 @query
 def g13_explosions(x):
-    return metrics.explosions(x.spine, x.pairs(blocking.sorted_name(100)))
+    return metrics.explosions(x.spine, x.pairs(blocking.sorted_name()))
 
 
 @query
@@ -643,7 +671,7 @@ def g18_fold_stability(x):
 
 @query
 def g19_determinism(x):
-    return audit.same_rows(x.pairs(blocking.sorted_name(100)), blocking.candidates(x.q.repartition(7), x.t.repartition(5), [blocking.sorted_name(100)]))
+    return audit.same_rows(x.pairs(blocking.sorted_name()), blocking.candidates(x.q.repartition(7), x.t.repartition(5), [blocking.sorted_name()]))
 
 
 @query
@@ -651,7 +679,7 @@ def g19_scaling_curve(x):
     rows = None
     for size in (50, 100, 200):
         some = sampling.cohort(queries_of(x.records), size).select(F.col("entity_id").alias("s1_id"))
-        got = x.pairs(blocking.sorted_name(100)).join(some, "s1_id", "left_semi").agg(F.count("*").alias("pairs")).withColumn("size", F.lit(size))
+        got = x.pairs(blocking.sorted_name()).join(some, "s1_id", "left_semi").agg(F.count("*").alias("pairs")).withColumn("size", F.lit(size))
         rows = got if rows is None else rows.union(got)
     return rows
 
@@ -661,7 +689,7 @@ def g20_universes(x):
     ids, rows = x.links.select("target_id").distinct(), None
     for n in (10, 100, 1000):
         chosen = load_with_distractors(x.records, x.spine, ids, n).select("entity_id")
-        got = blocking.candidates(x.q, x.t.join(chosen, "entity_id", "left_semi"), [blocking.sorted_name(100)]).agg(F.count("*").alias("pairs")).withColumn("per_source", F.lit(n))
+        got = blocking.candidates(x.q, x.t.join(chosen, "entity_id", "left_semi"), [blocking.sorted_name()]).agg(F.count("*").alias("pairs")).withColumn("per_source", F.lit(n))
         rows = got if rows is None else rows.union(got)
     return rows
 
@@ -678,7 +706,7 @@ def g22_output_by_country(x):
 
 @query
 def g23_error_causes(x):
-    return metrics.error_causes(x.links, x.preds(policy.GlobalThreshold(0.5)), x.feats)
+    return metrics.error_causes(x.links, x.preds(policy.GlobalThreshold(0.5)), x.records)
 
 
 @query
@@ -688,11 +716,10 @@ def g25_unseen_countries(x):
 
 @query
 def g26_arm_evaluation(x):
-    """Retrieval, features, score, policy and macro measures in one plan."""
-    k = tfidf.top_k(x.q, x.t, tfidf.TfidfParams(k=40))
-    pairs = blocking.with_provenance(blocking.hits(x.q, x.t, blocking.arm_b_blocks()), k)
-    scored = models.DeterministicMatcher().transform(features.pair_features(pairs, x.enriched))
-    return metrics.macro(metrics.entity_scores(x.spine, x.links, policy.decide(scored, _G)))
+    """Retrieval, features, score and policy; macro, pair, ranking and margin measures and the best threshold."""
+    feats = features.pair_features(x.arm_b_tfidf, x.with_grams)
+    scored = stored(models.DeterministicMatcher().transform(feats).select("s1_id", "target_id", "score"), "scores")
+    return metrics.arm_report(x.spine, x.links, scored, policy.decide(scored, _G))
 
 
 # validation
@@ -714,6 +741,11 @@ def v3_verify_output(x):
     return audit.verify_output(x.spine, x.preds(_G), targets_of(x.records))
 
 
+@query
+def v5_id_round_trip(x):
+    return audit.id_round_trip(x.spine, x.links, targets_of(x.records))
+
+
 @query
 def v4_leakage(x):
     split = sampling.entity_split(queries_of(x.records), 0.2, 42)
@@ -723,6 +755,6 @@ def v4_leakage(x):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sorted-name blocking measured: records, keys, pairs, labels, recall and volume."""
     x = Linkage(spark, sf_dir)
-    pairs = x.pairs(blocking.sorted_name(100))
+    pairs = x.pairs(blocking.sorted_name())
     one = lambda d: d.withColumn("one", F.lit(1))
     return one(metrics.blocking_recall(x.links, pairs)).join(one(metrics.blocking_volume(x.spine, pairs, x.n_targets())), "one").drop("one")
