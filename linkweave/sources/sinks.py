@@ -56,9 +56,16 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 
 def write_report(df: DataFrame, path: str, kind: str = "csv") -> None:
-    """A small result as one CSV or JSON file."""
-    out = df.coalesce(1).write.mode("overwrite")
-    out.json(path) if kind == "json" else out.csv(path, header=True)
+    """A small result as one CSV, JSON or Markdown file."""
+    out = df.coalesce(1)
+    if kind == "json":
+        out.write.mode("overwrite").json(path)
+    elif kind == "md":
+        line = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("value")
+        head = df.sparkSession.range(1).select(line([F.lit(c) for c in df.columns])).union(df.sparkSession.range(1).select(line([F.lit("-") for _ in df.columns])))
+        head.union(out.select(line([F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|")) for c in df.columns]))).coalesce(1).write.mode("overwrite").text(path)
+    else:
+        out.write.mode("overwrite").csv(path, header=True)
 
 
 def register(spark: SparkSession, path: str, name: str, params: dict, metrics: dict) -> None:
@@ -80,3 +87,16 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def leaderboard(runs: DataFrame, metric: str) -> DataFrame:
     return runs.select("name", F.get_json_object("metrics", f"$.{metric}").cast("double").alias(metric)).orderBy(F.desc(metric), "name")
+
+
+def leaderboard_matrix(runs: DataFrame, metrics: list[str]) -> DataFrame:
+    """A row a run: its metrics, and its rank by each of them (equal values share one)."""
+    rows = runs.select("name", *[F.get_json_object("metrics", f"$.{m}").cast("double").alias(m) for m in metrics])
+    # one row a registered run: a small table
+    return rows.select("*", *[F.rank().over(Window.orderBy(F.desc_nulls_last(m))).alias(f"rank_{m}") for m in metrics])
+
+
+def hypothesise(spark: SparkSession, path: str, name: str, hypothesis: str, status: str = "open") -> None:
+    """Appends what a run is to show, or how that came out; the latest row of a name counts."""
+    df = spark.createDataFrame([(name, hypothesis, status)], "name string, hypothesis string, status string").withColumn("at", F.current_timestamp())
+    df.write.mode("append").parquet(path)

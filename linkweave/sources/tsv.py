@@ -62,11 +62,15 @@ def _refuse(rows: DataFrame, id_col: str, prefix: str | None, unique: bool) -> N
             raise SourceError(f"{n} rows share a duplicate id")
 
 
-def stream_source(spark: SparkSession, folder: str, files_at_once: int = 1) -> DataFrame:
-    """The records of all files of a folder as a stream; ids aren't checked for uniqueness."""
+def stream_source(spark: SparkSession, folder: str, files_at_once: int = 1, prefix: str | None = None) -> DataFrame:
+    """The records of all files of a folder as a stream, some files a chunk. A blank id, or one without
+    the prefix, fails its chunk; uniqueness is no matter of one chunk and isn't checked."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in SOURCE_COLUMNS])
     rows = spark.readStream.schema(schema).option("sep", "\t").option("header", True).option("quote", "").option("maxFilesPerTrigger", files_at_once).csv(folder)
-    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in SOURCE_COLUMNS])
+    rows = rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in SOURCE_COLUMNS])
+    found = F.trim(F.col(SOURCE_COLUMNS[0]))
+    bad = F.when(found == "", "blank id").when(~found.startswith(prefix) if prefix else F.lit(False), F.concat(F.lit("id without its prefix: "), found))
+    return rows.where(F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(True))
 
 
 def parsed_matches(matches: Column, strict: bool = True) -> Column:

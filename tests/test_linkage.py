@@ -277,3 +277,86 @@ def test_queries_are_the_same_at_any_partitioning(spark):
         out.append(sorted(map(tuple, queries.QUERIES["g4_macro_f05"](spark, "/root/testdata/sf0.001").collect())))
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     assert out[0] == out[1]
+
+
+def test_running_top_k_over_batches(spark, tmp_path):
+    from linkweave.streaming.retrieval import best_so_far, running_top_k
+
+    rng, rows = __import__("random").Random(1), []
+    for part in range(3):
+        some = [(f"S1-{rng.randrange(4)}", f"S2-{rng.randrange(30)}", rng.randrange(20) / 20 + 0.05) for _ in range(40)]
+        spark.createDataFrame(some, "s1_id string, target_id string, score double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        rows += some
+        stream = spark.readStream.schema("s1_id string, target_id string, score double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        running_top_k(stream, str(tmp_path / "out"), str(tmp_path / "cp"), 5)
+    best: dict = {}
+    for q, t, s in rows:
+        best.setdefault(q, {})[t] = max(s, best.get(q, {}).get(t, 0))
+    want = {(q, t, r + 1) for q, found in best.items() for r, (t, s) in enumerate(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:5])}
+    assert {(r.s1_id, r.target_id, r["rank"]) for r in best_so_far(spark, str(tmp_path / "out")).collect()} == want
+
+
+def test_blocks_rank_like_the_term_join(spark):
+    import random
+
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(40)]
+    rows = [(f"S{1 + k % 3}-{k}", " ".join(rng.choices(words, k=5)), "", "x") for k in range(240)]
+    records = enrich(spark.createDataFrame(rows, "entity_id string, business_name string, business_address string, country string"))
+    q, t = queries_of(records), targets_of(records)
+    p = tfidf.TfidfParams(k=7, max_df=0.5)
+    vocab, tv = tfidf.fit(t, p)
+    qv = tfidf.vectors(tfidf.document_terms(q, tfidf.retrieval_text()), vocab)
+    old = tfidf.TARGET_BLOCK, tfidf.QUERY_BLOCK
+    tfidf.TARGET_BLOCK, tfidf.QUERY_BLOCK = 16, 8
+    try:
+        got = sorted(map(tuple, tfidf.best_pairs(qv, tv, vocab, 7).collect()))
+    finally:
+        tfidf.TARGET_BLOCK, tfidf.QUERY_BLOCK = old
+    assert got == sorted(map(tuple, tfidf.ranked(tfidf.similarities(qv, tv), 7).select("s1_id", "target_id", "score", "rank").collect()))
+
+
+def test_cut_off_and_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    from linkweave.operators import tables
+
+    ids = [f"S2-{k}" for k in range(500)]
+    df = spark.createDataFrame([(i,) for i in ids], "i string")
+    old, tables.FEW = tables.FEW, 10
+    try:
+        for n in (1, 7, 250, 500):
+            assert tables.cut_off(df, "i", n) == sorted(ids)[n - 1]
+        assert tables.cut_off(df, "i", 501) is None
+    finally:
+        tables.FEW = old
+    rows = spark.range(1000).select((F.col("id") / 7).alias("v"), F.col("id").alias("a"))
+    for r in tables.running_down(rows, "v", ["a"]).collect():
+        assert r.run_a == sum(range(r.a, 1000)) and r.all_a == sum(range(1000))
+
+
+def test_reports_and_chunk_checks(spark, tmp_path):
+    from linkweave.sources import sinks
+    from linkweave.sources.tsv import SOURCE_COLUMNS, stream_source
+
+    df = spark.createDataFrame([("a|b", 1.5), (None, None)], "name string, value double")
+    sinks.write_report(df, str(tmp_path / "md"), "md")
+    (file,) = (tmp_path / "md").glob("*.txt")
+    assert file.read_text().splitlines() == ["| name | value |", "| - | - |", "| a\\|b | 1.5 |", "|  |  |"]
+    for name, score in (("x", 0.5), ("y", 0.7)):
+        sinks.register(spark, str(tmp_path / "runs"), name, {}, {"f": score, "r": 1 - score})
+    matrix = {r.name: (r.rank_f, r.rank_r) for r in sinks.leaderboard_matrix(sinks.registered(spark, str(tmp_path / "runs")), ["f", "r"]).collect()}
+    assert matrix == {"x": (2, 1), "y": (1, 2)}
+    sinks.hypothesise(spark, str(tmp_path / "h"), "x", "more blocks help")
+    sinks.hypothesise(spark, str(tmp_path / "h"), "x", "more blocks help", "confirmed")
+    assert sinks.registered(spark, str(tmp_path / "h")).first().status == "confirmed"
+    folder = tmp_path / "source"
+    folder.mkdir()
+    (folder / "a.tsv").write_text("\t".join(SOURCE_COLUMNS) + "\nS2-1\tn\ta\tc\nS3-1\tn\ta\tc\n")
+    for prefix, fails in (("S", False), ("S2-", True)):
+        stream = stream_source(spark, str(folder), prefix=prefix).writeStream.format("noop").option("checkpointLocation", str(tmp_path / f"c{fails}")).trigger(availableNow=True).start()
+        try:
+            stream.awaitTermination()
+            assert not fails
+        except Exception as e:
+            assert fails and "without its prefix" in str(e)
