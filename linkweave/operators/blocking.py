@@ -8,7 +8,7 @@ never gathers in one task.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -113,13 +113,15 @@ def alias_block() -> Block:
     return Block("alias", f"CASE WHEN {place} IS NOT NULL THEN transform(array_distinct(filter(plots, p -> length(p) >= 2)), p -> concat(upper(country), '::', {place}, '::', p)) ELSE array() END")
 
 
-def arm_b_blocks() -> list[Block]:
-    number = Block("name_numeric", "CASE WHEN size(informative) > 0 THEN transform(array_distinct(plots), p -> concat(informative[0], '::', p)) ELSE array() END")
-    return [exact_name(None), sorted_name(None), number, char_boundary(4, None), domain_block(4)]
+def arm_b_blocks(cap: int | None = None) -> list[Block]:
+    """The first arm; by definition every pair of a key. cap bounds targets a key: metrics.missed with
+    the capped pairs gives the links that costs."""
+    number = "CASE WHEN size(informative) > 0 THEN transform(array_distinct(plots), p -> concat(informative[0], '::', p)) ELSE array() END"
+    return [exact_name(cap), sorted_name(cap), Block("name_numeric", number, cap=cap), char_boundary(4, cap), replace(domain_block(4), cap=cap)]
 
 
-def arm_c_blocks() -> list[Block]:
-    return [*arm_b_blocks(), *cross_script(), leetspeak_block()]
+def arm_c_blocks(cap: int | None = None) -> list[Block]:
+    return [*arm_b_blocks(cap), *(replace(b, cap=cap) for b in (*cross_script(), leetspeak_block()))]
 
 
 def engine_blocks() -> list[Block]:
