@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of, written
+from .common import scratch, text_of, written
 
 RUN = 2
 MIN_WORDS = 16
@@ -136,12 +136,13 @@ def _places(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """i, h, gone: sorted (first, count) runs of pieces to remove, of each document that has any."""
-    places = written(_places(docs, id_col, text_col), "runs")
-    again = written(places.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
-    found = written(places.join(again, ["k1", "k2"], "left_semi"), "found")
-    first = written(found.groupBy("k1", "k2").agg(F.min(F.struct("i", "h", "a")).alias("first")), "first")
-    other = found.join(first, ["k1", "k2"]).where(F.struct("i", "h", "a") != F.col("first"))
-    return other.groupBy("i", "h").agg(F.array_sort(F.collect_set(F.struct("a", "n"))).alias("gone"))
+    with scratch(docs.sparkSession):
+        places = written(_places(docs, id_col, text_col), "runs")
+        again = written(places.groupBy("k1", "k2").agg(F.count("*").alias("c")).where("c > 1").drop("c"), "repeated")
+        found = written(places.join(again, ["k1", "k2"], "left_semi"), "found")
+        first = written(found.groupBy("k1", "k2").agg(F.min(F.struct("i", "h", "a")).alias("first")), "first")
+        other = found.join(first, ["k1", "k2"]).where(F.struct("i", "h", "a") != F.col("first"))
+        return written(other.groupBy("i", "h").agg(F.array_sort(F.collect_set(F.struct("a", "n"))).alias("gone")), "gone", keep=True)
 
 
 def _without(pieces: list[str], gone) -> tuple[str, int]:
