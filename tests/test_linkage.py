@@ -68,6 +68,17 @@ def test_caps_and_skips(spark):
     assert "WindowGroupLimit" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
+def test_first_targets_of_a_query(spark):
+    rows = [(f"S2-{k:03}", f"Same Name {k % 2}", "", "US") for k in range(20)] + [(f"S1-{k}", f"Same Name {k % 2}", "", "US") for k in range(5)]
+    r = enrich(spark.createDataFrame(rows + rows[:3], REC))  # some targets twice
+    q, t = queries_of(r), targets_of(r)
+    got = blocking.candidates(q, t, blocking.engine_blocks(), per_query=3)
+    assert found(got)["S1-1"] == {"S2-001", "S2-003", "S2-005"} and got.count() == 15
+    assert found(blocking.candidates(q, t, [blocking.exact_name(2)]))["S1-0"] == {"S2-000", "S2-002"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan[plan.index("Join Inner") :]  # a hot key's targets are cut before they meet its queries
+
+
 def test_cross_script_and_leetspeak(spark):
     rows = [("S1-1", "Kamal Rama", "12 x 110059", "India"), ("S2-1", "कमल राम", "12 x 110059", "India"), ("S1-2", "Fa5t P0int", "", "US"), ("S3-2", "Fast Point", "", "US")]
     r = enrich(spark.createDataFrame(rows, REC))
