@@ -79,6 +79,21 @@ def test_first_targets_of_a_query(spark):
     assert "WindowGroupLimit" in plan[plan.index("Join Inner") :]  # a hot key's targets are cut before they meet its queries
 
 
+def test_pairs_meet_once(spark, rec, monkeypatch):
+    """As many rows as from all hits, however cells are cut, and no shuffle of pairs."""
+    rows = [(f"S{1 + k % 3}-{k}", f"Na{k % 5}me Wo{k % 7}rd", f"{k % 4} Road {10 + k % 6}/{k % 3} 27262", "US") for k in range(90)]
+    r = enrich(spark.createDataFrame(rows + rows[:4], REC))
+    q, t = queries_of(r), targets_of(r)
+    k = tfidf.top_k(q, t, tfidf.TfidfParams(k=3)).localCheckpoint()
+    monkeypatch.setattr(blocking, "SIDE", 2)
+    as_set = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for blocks in (blocking.arm_c_blocks(), blocking.arm_b_blocks(2)):
+        for found_too in (None, k):
+            assert as_set(blocking.provenance(q, t, blocks, found_too)) == as_set(blocking.with_provenance(blocking.hits(q, t, blocks), found_too))
+    plan = blocking.candidates(q, t, [blocking.exact_name(None), blocking.informative_number()])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[: plan.index("Join")] and "Aggregate" not in plan[: plan.index("Join")]
+
+
 def test_cross_script_and_leetspeak(spark):
     rows = [("S1-1", "Kamal Rama", "12 x 110059", "India"), ("S2-1", "कमल राम", "12 x 110059", "India"), ("S1-2", "Fa5t P0int", "", "US"), ("S3-2", "Fast Point", "", "US")]
     r = enrich(spark.createDataFrame(rows, REC))
