@@ -80,3 +80,24 @@ def test_tiles_find_what_first_sets_miss(spark):
         for a, b in found:
             near[a] = near[b] = min(near[a], near[b])
     assert near == group and {tuple(sorted(p, reverse=True)) for p in found} <= want and len(set(group.values())) < len(sets)
+
+
+def test_stage_goes_through_op9_and_tiles_by_population_counts(spark, monkeypatch):
+    """op 9's links judge the sets that share buckets, and no tile pair beyond the radius is compared."""
+    import corpus_pipeline
+    import numpy as np
+
+    rng, calls = np.random.default_rng(5), []
+    links = near_copies.simhash_links
+    monkeypatch.setattr(near_copies, "simhash_links", lambda fps, *a: calls.append(fps.count()) or links(fps, *a))
+    base = prose(77, 300)
+    docs = spark.createDataFrame([(1, base, "en", "s", 1), (2, base + " more", "en", "s", 1), (3, prose(78, 300), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = dict(corpus_pipeline.STAGES)["near_duplicates"](spark, docs, "").select("doc_id").collect()
+    assert sorted(r.doc_id for r in left) == [1, 3] and calls == [2]
+
+    few, many = [(1 << k) - 1 for k in range(1, 5)], [-(1 << k) for k in range(1, 5)]  # 1 to 4 and 60 to 63 ones
+    x = np.sort(rng.integers(0, 2**62, 40)).tolist()
+    df = spark.createDataFrame([(k, fp, x) for k, fp in enumerate(few + many)], "s long, fp long, x array<long>")
+    monkeypatch.setattr(near_copies, "TILE", 2)
+    found = near_copies._tiled(spark.createDataFrame([(k, 1) for k in range(8)], "s long, key long"), df, 4, 5).collect()
+    assert {(r.u < 4) == (r.v < 4) for r in found} == {True} and {k for r in found for k in (r.u, r.v)} == set(range(8))
