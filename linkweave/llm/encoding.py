@@ -76,14 +76,19 @@ class ByteEncoder:
     def _new(self, unit: str, one: bool) -> bytes:
         """ids of a unit that isn't in the cache's younger half; one: whether it is a single piece."""
         ids = self.older.get(unit)
-        if ids is None:
-            if one:
-                mapped = unit.encode().decode("latin-1").translate(self.letters)
-                ids = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
-            elif not _SAFE.match(unit):
-                ids = self.library(unit)
-            else:
-                ids = b"".join(map(self._piece, self.pieces(unit)))
+        return self._keep(unit, self._made(unit, one) if ids is None else ids)
+
+    def _made(self, unit: str, one: bool) -> bytes:
+        if one:
+            return self._model(unit.encode().decode("latin-1").translate(self.letters))
+        if not _SAFE.match(unit):
+            return self.library(unit)
+        return b"".join(map(self._piece, self.pieces(unit)))
+
+    def _model(self, mapped: str) -> bytes:
+        return array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+
+    def _keep(self, unit: str, ids: bytes) -> bytes:
         if len(unit) <= 64:
             if 2 * len(self.known) >= self.cache_units:
                 self.known, self.older = {}, self.known
@@ -93,10 +98,19 @@ class ByteEncoder:
     def _units(self, units: list[str]) -> list[bytes]:
         """ids of every unit; one of letters only, but for a space before them, is one piece."""
         out = list(map(self.known.get, units))
-        for k, ids in enumerate(out):
+        for k in [k for k, ids in enumerate(out) if ids is None]:
+            unit = units[k]
+            ids = self.older.get(unit)
             if ids is None:
-                unit = units[k]
-                out[k] = self._new(unit, (unit[1:] if unit[:1] == " " else unit).isalpha() and bool(_SAFE.match(unit))) if unit else b""
+                spaced = unit[:1] == " "
+                body = unit[1:] if spaced else unit
+                if not body.isalpha():
+                    ids = self._made(unit, False) if unit else b""
+                elif body.isascii():  # letters that stand for themselves
+                    ids = self._model(self.space + body if spaced else body)
+                else:
+                    ids = self._made(unit, bool(_SAFE.match(unit)))
+            out[k] = self._keep(unit, ids)
         return out
 
     def _unit(self, unit: str) -> bytes:
@@ -175,3 +189,13 @@ def byte_encoder(path: str) -> ByteEncoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = ByteEncoder(path)
     return _ENCODERS[path]
+
+
+def forget() -> None:
+    """Frees this process's encoders: Spark gives a worker other work next, and a full cache takes some 120 MB."""
+    if _ENCODERS:
+        import gc
+
+        _ENCODERS.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()

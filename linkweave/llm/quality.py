@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 
 from .common import free_name as _free
 from .common import numbered, scratch, written
+from .encoding import forget
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -163,6 +164,7 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame,
     kind = T.StructType([T.StructField(c, T.LongType()) for c in COUNTS] + [T.StructField("x", T.ArrayType(T.LongType()))])
 
     def run(batches):
+        forget()
         for batch in batches:
             got = [statistics(t.as_py() or "") for t in batch.column(at)]
             arrays = [pa.array([c[k] for c, _ in got], pa.int64()) for k in range(len(COUNTS))]
