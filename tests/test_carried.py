@@ -7,7 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from linkweave.operators import blocking, features, metrics, policy
+from linkweave.operators import blocking, features, metrics, policy, tfidf
 from linkweave.operators.records import enrich, queries_of, targets_of
 from linkweave.plans.queries import Linkage
 
@@ -56,3 +56,10 @@ def test_measures_by_hits_and_no_shuffle_of_all_pairs(spark, tmp_path):
     twice = Linkage(spark, str(tmp_path))
     twice.records = twice.records.union(twice.records)
     assert not twice.unique and "hit" not in twice.hit_preds(policy.GlobalThreshold(0.5)).columns
+
+
+def test_blocks_are_read_not_shuffled(spark, rec):
+    """Cells get numbers alone: no block goes through an exchange, however many cells it belongs to."""
+    got = tfidf.top_k(queries_of(rec), targets_of(rec), tfidf.CHAR_PARAMS)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "numbers" not in plan and "hashpartitioning(qb" not in plan and got.count() > 0
