@@ -50,3 +50,8 @@ def test_rounded(spark):
 
 def test_whole_features_need_no_rounding(rec):
     assert by_name(rec).where(" OR ".join(f"{n} <> floor({n})" for n in features.WHOLE)).isEmpty()
+
+
+def test_clean_within_the_projection(rec):
+    got, want = by_name(rec, final=lambda n, c: features.clean(c)), features.sanitized(by_name(rec))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.columns == want.columns
